@@ -180,7 +180,7 @@ CTES = {
     "bp": (("instants",), """
         SELECT 'G' || g AS game_str, CAST(n AS INTEGER) AS play_id, CAST(50 * i AS BIGINT) AS ts,
             0::DOUBLE AS bx,
-            CASE WHEN i <= 40 THEN 60 ELSE 60 - 1.5::DOUBLE * (i - 40) END AS by,
+            CASE WHEN i <= 40 THEN 60 ELSE 60 - 1.5::DOUBLE * (i - 40) END AS b_y,
             3::DOUBLE AS bz
         FROM instants"""),
     "labels_2b": (("plays",), """
