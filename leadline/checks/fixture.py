@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadline.sources.tracking import Tracking, canonical_tracking
+from leadline.session import scratch_path
+from leadline.sources.tracking import Tracking, load_tracking
 
 FRAMES = 80
 
 
 def plays(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").selectExpr(
+    """One row per order. Each becomes hundreds of frames, so the keys are spread first."""
+    keys = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    wide = keys.repartition(spark.sparkContext.defaultParallelism)
+    return wide.selectExpr(
         "o_orderkey AS q", "o_orderkey div 50 AS g", "o_orderkey % 50 + 1 AS n",
         "(o_orderkey div 2) % 4 AS k", "(o_orderkey div 8) % 3 AS sub",
         "(o_orderkey div 8) % 9 AS way",
@@ -103,8 +107,22 @@ def raw_tables(spark: SparkSession, sf: str) -> dict:
                 player_pos=raw_player_pos(base), ball_pos=raw_ball_pos(base))
 
 
+_WRITTEN: dict = {}
+
+
+def folder(spark: SparkSession, sf: str) -> str:
+    """Where the fixture of one data folder is stored; written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "tracking")
+        for name, df in raw_tables(spark, sf).items():
+            df.write.parquet(f"{path}/{name}")
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 def tracking(spark: SparkSession, sf: str) -> Tracking:
-    return canonical_tracking(**raw_tables(spark, sf))
+    return load_tracking(spark, folder(spark, sf))
 
 
 def double_labels(spark: SparkSession, sf: str) -> DataFrame:

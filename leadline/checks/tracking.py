@@ -285,10 +285,7 @@ UNION ALL SELECT game_str, 'player_pos', count(*), count(DISTINCT play_id),
 UNION ALL SELECT game_str, 'ball_pos', count(*), count(DISTINCT play_id),
     round(sum(b_y + bz), 4) FROM bp GROUP BY game_str""", "gi", "ge", "pp", "bp"), name="load_tracking")
 def load_tracking_query(spark, sf):
-    folder = scratch_path(spark, "tracking")
-    for name, df in fixture.raw_tables(spark, sf).items():
-        df.write.parquet(f"{folder}/{name}")
-    return _digest(load_tracking(spark, folder))
+    return _digest(load_tracking(spark, fixture.folder(spark, sf)))
 
 
 NULLABLE = ["catcher", "batter", "first_baserunner", "second_baserunner", "third_baserunner"]

@@ -24,17 +24,17 @@ RAW = {
 
 CANONICAL = {
     "game_info": dict(
-        game_str="string", play_per_game="int", at_bat="int", top_bottom_inning="string",
+        game_str="key", play_per_game="int", at_bat="int", top_bottom_inning="string",
         catcher="string", batter="string", first_baserunner="string",
         second_baserunner="string", third_baserunner="string"),
     "game_events": dict(
-        game_str="string", play_id="int", play_per_game="int", timestamp="bigint",
+        game_str="key", play_id="int", play_per_game="int", timestamp="bigint",
         player_position="int", event_code="int"),
     "player_pos": dict(
-        game_str="string", play_id="int", timestamp="bigint", player_position="int",
+        game_str="key", play_id="int", timestamp="bigint", player_position="int",
         field_x="double", field_y="double"),
     "ball_pos": dict(
-        game_str="string", play_id="int", timestamp="bigint", ball_position_x="double",
+        game_str="key", play_id="int", timestamp="bigint", ball_position_x="double",
         ball_position_y="double", ball_position_z="double"),
 }
 
@@ -65,12 +65,18 @@ def require_one_game(df: DataFrame) -> DataFrame:
 
 
 def canonicalise(df: DataFrame, spec: dict) -> DataFrame:
-    """Typed columns of ``spec``; 'NA' and unreadable numbers become null."""
+    """Typed columns of ``spec``; 'NA' and unreadable numbers become null.
+
+    A column of kind ``key`` is passed through untouched, so that filters on it still
+    reach the files.
+    """
     require_columns(df, spec)
     types = dict(df.dtypes)
 
     def typed(name: str, kind: str):
         column = F.col(name)
+        if kind == "key":
+            return column
         if types[name] == "string":
             if kind == "string":
                 return known(column)
