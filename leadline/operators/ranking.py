@@ -22,7 +22,7 @@ BEFORE = (Window.unboundedPreceding, -1)
 def with_ranges(df: DataFrame, columns, ranges: int = RANGES) -> DataFrame:
     """Add ``_range_<c>`` for numeric columns; one sketch job for all of them."""
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.approxQuantile(list(columns), shares, 0.5 / ranges)
+    cuts = df.approxQuantile(list(columns), shares, 0.5 / ranges) if shares else [[]] * len(columns)
     inf = float("inf")
     splits = [[-inf, *sorted(set(c) - {inf, -inf}), inf] for c in cuts]
     splits = [s if len(s) > 2 else [-inf, 0.0, inf] for s in splits]

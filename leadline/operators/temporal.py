@@ -245,17 +245,40 @@ def resample(series: DataFrame, plays, entity, time: str, cols, steps: int,
 
     ``plays`` are the key columns that share a clock, ``entity`` the further columns
     that name one track. Entities not seen yet at an instant have no row there.
+
+    A row holds until the next one of its track, so the steps it answers for follow from
+    arithmetic; no as-of join is made. The clock of the play and the start of the next
+    chunk come from the chunk summary, with the join that also places the rows.
     """
     keys = [*plays, *entity]
-    tracks = series.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    clock = tracks.groupBy(*plays).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    instant = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("step") / F.lit(
-        steps - 1).cast("double")
-    grid = (
-        tracks.select(*keys).join(clock, list(plays))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    marked = series.where(F.col(time).isNotNull()).withColumn(CHUNK, chunk_of(time, width))
+    chunks = marked.groupBy(*keys, CHUNK).agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last"))
+    clock = Window.partitionBy(*plays)
+    chunks = chunks.select(
+        *keys, CHUNK,
+        F.lead("_first").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_after"),
+        F.min("_first").over(clock).alias("_lo"), F.max("_last").over(clock).alias("_hi"))
+
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(time, *cols)
+    rows = marked.join(chunks, [*keys, CHUNK]).withColumn("_next", F.lead(time).over(inside))
+    # of rows on one instant the greatest is the last known one
+    rows = rows.where(F.col("_next").isNull() | (F.col("_next") != F.col(time)))
+    rows = rows.withColumn("_until", F.coalesce("_next", "_after"))
+
+    last, span = steps - 1, F.col("_hi") - F.col("_lo")
+
+    def step_of(at):
+        return F.ceil((at - F.col("_lo")) * last / F.nullif(span.cast("double"), F.lit(0.0)))
+
+    # one step too many on the left is dropped by the exact comparison below
+    start = F.coalesce(F.greatest(step_of(F.col(time)) - 1, F.lit(0)), F.lit(0))
+    stop = F.coalesce(F.least(step_of(F.col("_until")), F.lit(last)), F.lit(last))
+    instant = F.col("_lo") + span * F.col("step") / F.lit(float(last))
+    return (
+        rows.withColumn("step", F.explode(F.sequence(start.cast("int"), stop.cast("int"))))
         .withColumn("instant", instant)
-        .select(*keys, "step", "instant", F.floor("instant").cast("bigint").alias(time))
+        .where(F.col("instant") >= F.col(time))
+        .where(F.col("_until").isNull() | (F.col("instant") < F.col("_until")))
+        .select(*keys, "step", "instant", *cols)
     )
-    known = asof(grid, series, keys, time, cols, width).where(F.col("asof").isNotNull())
-    return known.select(*keys, "step", "instant", *[F.col(f"asof.{c}").alias(c) for c in cols])

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadline.functions.codes import FIRST_BASE, FRAME, PITCHER, PLAY, RUNNER_FIRST
-from leadline.functions.scalars import diff_quotient, distance, safe_divide, seconds
-from leadline.operators.relational import BROADCAST_ROWS
+from leadline.functions.scalars import all_of, diff_quotient, distance, safe_divide, seconds
+from leadline.operators.relational import BROADCAST_ROWS, keep_keys
 from leadline.operators.temporal import lookback, nearest, samples_before, sync_frames
+from leadline.session import materialise
 from leadline.sources.tracking import Tracking
 
 # Milliseconds looked back, and before release; feet from the pitcher.
@@ -41,17 +42,48 @@ def narrow(frames: DataFrame, plays: DataFrame) -> DataFrame:
 
 def release_time(t: Tracking, plays: DataFrame | None = None,
                  feet: float = RELEASED_AT) -> DataFrame:
-    """(play, release_timestamp): first common frame with the ball away from the pitcher."""
-    pitcher = t.player_pos.where(F.col("player_position") == PITCHER).select(*FRAME, *XY)
-    ball = t.ball_pos.select(*FRAME, "ball_position_x", "ball_position_y")
+    """(play, release_timestamp): first common frame with the ball away from the pitcher.
+
+    Both streams are aggregated by frame in one go: smallest and largest coordinates.
+    Copies collapse before the shuffle, and nothing is sorted or paired. Where a frame
+    has one place for the ball and one for the pitcher, that is the frame. Plays with a
+    frame that contradicts itself, early enough to matter, are done by pairing its rows.
+    """
+    pitcher = t.player_pos.where(F.col("player_position") == PITCHER).select(*FRAME, *XY).dropna()
+    ball = t.ball_pos.select(*FRAME, "ball_position_x", "ball_position_y").dropna()
     if plays is not None:
         pitcher, ball = narrow(pitcher, plays), narrow(ball, plays)
-    away = distance(F.col("ball_position_x"), F.col("ball_position_y"),
-                    (F.col("field_x"), F.col("field_y")))
-    return (
-        sync_frames(ball.distinct(), pitcher.distinct(), FRAME).where(away >= F.lit(float(feet)))
-        .groupBy(*PLAY).agg(F.min("timestamp").alias("release_timestamp"))
-    )
+
+    names = ["bx", "by", "px", "py"]
+    none = F.lit(None).cast("double")
+    both = ball.select(
+        *FRAME, F.col("ball_position_x").alias("bx"), F.col("ball_position_y").alias("by"),
+        none.alias("px"), none.alias("py"),
+    ).unionByName(pitcher.select(
+        *FRAME, none.alias("bx"), none.alias("by"), F.col("field_x").alias("px"),
+        F.col("field_y").alias("py")))
+    frames = both.groupBy(*FRAME).agg(
+        *[F.min(n).alias(n) for n in names], *[F.max(n).alias(f"{n}_max") for n in names])
+    frames = frames.where(F.col("bx").isNotNull() & F.col("px").isNotNull())
+    clear = all_of(F.col(n) == F.col(f"{n}_max") for n in names)
+    away = distance(F.col("bx"), F.col("by"), (F.col("px"), F.col("py"))) >= F.lit(float(feet))
+    found = materialise(frames.groupBy(*PLAY).agg(
+        F.min(F.when(clear & away, F.col("timestamp"))).alias("release_timestamp"),
+        F.min(F.when(~clear, F.col("timestamp"))).alias("unclear")))
+
+    released = F.col("release_timestamp")
+    doubtful = F.coalesce(F.col("unclear") < released, F.col("unclear").isNotNull())
+    settled = found.where(~doubtful & released.isNotNull()).select(*PLAY, released)
+    redo = found.where(doubtful).select(*PLAY)
+    if redo.isEmpty():
+        return settled
+    apart = distance(F.col("ball_position_x"), F.col("ball_position_y"),
+                     (F.col("field_x"), F.col("field_y")))
+    paired = sync_frames(keep_keys(ball.distinct(), redo, PLAY),
+                         keep_keys(pitcher.distinct(), redo, PLAY), FRAME)
+    return settled.unionByName(
+        paired.where(apart >= F.lit(float(feet)))
+        .groupBy(*PLAY).agg(F.min("timestamp").alias("release_timestamp")))
 
 
 def kinematics(df: DataFrame, form: str = "endpoint", undefined: str = "null",

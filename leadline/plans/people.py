@@ -13,7 +13,6 @@ from leadline.operators.chunks import spread
 from leadline.operators.motion import COVERED, SPEED, drop_same_instant, trajectories, with_motion
 from leadline.operators.ranking import percentile
 from leadline.operators.relational import min_sample, plausible
-from leadline.operators.temporal import attach_to_chunks
 from leadline.plans.moments import CHUNK_MS, XY
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
@@ -44,13 +43,13 @@ def top_speeds(t: Tracking) -> DataFrame:
     track = [*PLAY, "player_position"]
     frames = t.player_pos.where(F.col("player_position").isin(*RUNNERS)).select(
         *track, "timestamp", *XY).distinct()
-    chunked = attach_to_chunks(
-        spread(frames, "timestamp", CHUNK_MS, WINDOW_MS), runner_ids(t), track)
-    part = [*track, "runner_id"]
-    single = drop_same_instant(chunked, part, "timestamp", *XY)
-    moving = with_motion(single, part, "timestamp", *XY, WINDOW_MS)
+    single = drop_same_instant(
+        spread(frames, "timestamp", CHUNK_MS, WINDOW_MS), track, "timestamp", *XY)
+    moving = with_motion(single, track, "timestamp", *XY, WINDOW_MS)
     fast_enough = F.when(F.col(COVERED) >= LEAST_COVER_MS, F.col(SPEED))
-    return trajectories(moving, part, "timestamp", *XY, max_speed=fast_enough)
+    # a track is the same whoever ran it, so the person joins its one-row summary
+    summary = trajectories(moving, track, "timestamp", *XY, max_speed=fast_enough)
+    return summary.join(runner_ids(t), track)
 
 
 def sprint_speed(t: Tracking) -> DataFrame:
