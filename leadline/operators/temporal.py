@@ -186,15 +186,21 @@ def attach_to_chunks(chunked: DataFrame, facts: DataFrame, keys) -> DataFrame:
     return chunked.join(chunks.join(facts, list(keys)), [*keys, CHUNK])
 
 
-def attach_to_series(series: DataFrame, facts: DataFrame, keys, time: str,
-                     width: int) -> DataFrame:
-    """``attach_to_chunks`` for a time line that is not cut yet."""
+def attach_to_series(series: DataFrame, facts: DataFrame, keys, time: str, width: int,
+                     broadcast_rows: int = 0) -> DataFrame:
+    """``attach_to_chunks`` for a time line that is not cut yet.
+
+    With ``broadcast_rows`` the facts are counted, so give a stored table; up to that many
+    are broadcast, and the time line is not shuffled at all.
+    """
+    if broadcast_rows and facts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return series.join(F.broadcast(facts), list(keys))
     marked = series.withColumn(CHUNK, chunk_of(time, width))
     return attach_to_chunks(marked, facts, keys).drop(CHUNK)
 
 
 def nearest(series: DataFrame, targets: DataFrame, keys, time: str, at: str, cols,
-            width: int, ties: str = "early") -> DataFrame:
+            width: int, ties: str = "early", broadcast_rows: int = 0) -> DataFrame:
     """Add struct ``near`` (time and cols) to ``targets``: the row closest to ``at``.
 
     One target row per key; keys without any row are dropped. Ties in distance go to the
@@ -205,31 +211,54 @@ def nearest(series: DataFrame, targets: DataFrame, keys, time: str, at: str, col
     ranked = F.struct(
         F.abs(F.col(time) - F.col(at)).alias("gap"),
         (F.col(time) * sign).alias("side"), *[F.col(c) for c in cols])
-    facts = [c for c in targets.columns if c not in keys]
+    found = (
+        attach_to_series(series.select(*keys, time, *cols),
+                         targets.where(F.col(at).isNotNull()).select(*keys, at),
+                         keys, time, width, broadcast_rows)
+        .groupBy(*keys).agg(F.min(ranked).alias("_best"))
+    )
+    return targets.join(found, list(keys)).select(*targets.columns, F.struct(
+        (F.col("_best.side") * sign).alias(time),
+        *[F.col(f"_best.{c}").alias(c) for c in cols]).alias("near"))
+
+
+def nearest_time(series: DataFrame, targets: DataFrame, keys, time: str, at: str, width: int,
+                 ties: str = "early", broadcast_rows: int = 0) -> DataFrame:
+    """(keys, near_time): only the time of the closest row.
+
+    Distance and side are packed into one integer, so this is a hash aggregate over the
+    keys and the time alone; use it where the rows are read again around that time.
+    """
+    wrong = {"early": F.col(time) > F.col(at), "late": F.col(time) < F.col(at)}[ties]
+    packed = F.abs(F.col(time) - F.col(at)) * 2 + wrong.cast("int")
+    side = F.when(F.col("_p") % 2 == 0, -1 if ties == "early" else 1).otherwise(
+        1 if ties == "early" else -1)
     return (
-        attach_to_series(series.select(*keys, time, *cols), targets.where(F.col(at).isNotNull()),
-                         keys, time, width)
-        .groupBy(*keys, *facts).agg(F.min(ranked).alias("_best"))
-        .select(*keys, *facts, F.struct(
-            (F.col("_best.side") * sign).alias(time),
-            *[F.col(f"_best.{c}").alias(c) for c in cols]).alias("near"))
+        attach_to_series(series.select(*keys, time),
+                         targets.where(F.col(at).isNotNull()).select(*keys, at),
+                         keys, time, width, broadcast_rows)
+        .groupBy(*keys, at).agg(F.min(packed).alias("_p"))
+        .select(*keys, (F.col(at) + side * F.expr("_p div 2")).alias("near_time"))
     )
 
 
-def samples_before(series: DataFrame, moments: DataFrame, keys, time: str, cols, deltas,
-                   width: int) -> DataFrame:
-    """Add struct ``back_<d>`` to ``moments``: the last row at or before ``near`` less d.
+def samples_before(series: DataFrame, moments: DataFrame, keys, time: str, at: str, cols, deltas,
+                   width: int, broadcast_rows: int = 0) -> DataFrame:
+    """(keys, near, back_<d>): the row at the instant ``at`` and the last one ``d`` earlier.
 
-    Same meaning as ``lookback``, for when one moment per key is wanted: conditional
-    maxima that start on the map side, no window over the time line.
+    ``moments`` has one instant per key. ``back_<d>`` means the same as in ``lookback``;
+    ``near`` is the row of exactly that instant with the smallest ``cols``. Conditional
+    extremes that start on the map side, no window over the time line; grouping by the
+    keys alone lets the order of the join serve the aggregate.
     """
     point = F.struct(time, *cols)
-    facts = [c for c in moments.columns if c not in keys]
-    rows = attach_to_series(series.select(*keys, time, *cols), moments, keys, time, width)
-    return rows.groupBy(*keys, *facts).agg(*[
-        F.max(F.when(F.col(time) <= F.col(f"near.{time}") - d, point)).alias(f"back_{d}")
-        for d in deltas
-    ])
+    rows = attach_to_series(series.select(*keys, time, *cols),
+                            moments.select(*keys, F.col(at).alias("_at")), keys, time, width,
+                            broadcast_rows)
+    return rows.groupBy(*keys).agg(
+        F.min(F.when(F.col(time) == F.col("_at"), point)).alias("near"),
+        *[F.max(F.when(F.col(time) <= F.col("_at") - d, point)).alias(f"back_{d}")
+          for d in deltas])
 
 
 # -- frames of two streams -----------------------------------------------------------

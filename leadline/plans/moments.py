@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from leadline.functions.codes import FIRST_BASE, FRAME, PITCHER, PLAY, RUNNER_FIRST
 from leadline.functions.scalars import all_of, diff_quotient, distance, safe_divide, seconds
-from leadline.operators.relational import BROADCAST_ROWS, keep_keys
-from leadline.operators.temporal import lookback, nearest, samples_before, sync_frames
+from leadline.operators.relational import keep_keys
+from leadline.operators.temporal import lookback, nearest_time, samples_before, sync_frames
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
 
@@ -18,6 +18,7 @@ BEFORE_PICKOFF, BEFORE_PITCH = 725, 1250
 RELEASED_AT = 1.0
 
 CHUNK_MS = 60_000
+NARROW_ROWS = 500_000
 XY = ["field_x", "field_y"]
 
 
@@ -29,13 +30,16 @@ def runner_on_first_frames(t: Tracking) -> DataFrame:
     return t.player_pos.where(F.col("player_position") == RUNNER_FIRST).select(*FRAME, *XY)
 
 
-def narrow(frames: DataFrame, plays: DataFrame) -> DataFrame:
-    """Drop frames of other plays early, when the (stored) list of plays is small.
+def narrow(frames: DataFrame, plays: DataFrame | None) -> DataFrame:
+    """Drop frames of other plays before they are shuffled, if the stored list is short.
 
-    Only saves work: the joins that follow select the plays in any case.
+    Only saves work: the joins that follow select the plays in any case. A key is a short
+    text and an int, so the list that is broadcast stays within some tens of megabytes.
     """
+    if plays is None:
+        return frames
     keys = plays.select(*PLAY)
-    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if keys.limit(NARROW_ROWS + 1).count() > NARROW_ROWS:
         return frames
     return frames.join(F.broadcast(keys), PLAY, "left_semi")
 
@@ -51,8 +55,7 @@ def release_time(t: Tracking, plays: DataFrame | None = None,
     """
     pitcher = t.player_pos.where(F.col("player_position") == PITCHER).select(*FRAME, *XY).dropna()
     ball = t.ball_pos.select(*FRAME, "ball_position_x", "ball_position_y").dropna()
-    if plays is not None:
-        pitcher, ball = narrow(pitcher, plays), narrow(ball, plays)
+    pitcher, ball = narrow(pitcher, plays), narrow(ball, plays)
 
     names = ["bx", "by", "px", "py"]
     none = F.lit(None).cast("double")
@@ -142,9 +145,14 @@ def moment_before(t: Tracking, targets: DataFrame, ties: str = "early",
                   form: str = "endpoint", undefined: str = "null") -> DataFrame:
     """Kinematics of the runner from first at the frame nearest to ``at``, per play.
 
-    ``targets`` hold ``at`` per play; their other columns are kept.
+    ``targets`` hold ``at`` per play, from stored tables; their other columns are kept.
+    First the time of that frame, then the samples around it. Few targets are broadcast
+    and the frames stay in place; many are joined on (play, chunk).
     """
     frames = runner_on_first_frames(t)
-    near = nearest(frames, targets, PLAY, "timestamp", "at", XY, CHUNK_MS, ties)
-    sampled = samples_before(frames, near, PLAY, "timestamp", XY, LAGS, CHUNK_MS)
-    return kinematics(sampled, form, undefined).drop(*[f"back_{d}" for d in LAGS])
+    near = materialise(nearest_time(frames, targets, PLAY, "timestamp", "at", CHUNK_MS, ties,
+                                    NARROW_ROWS))
+    sampled = samples_before(frames, near, PLAY, "timestamp", "near_time", XY, LAGS, CHUNK_MS,
+                             NARROW_ROWS)
+    rows = kinematics(sampled, form, undefined).drop(*[f"back_{d}" for d in LAGS])
+    return targets.join(rows, PLAY)

@@ -92,15 +92,20 @@ def test_nearest_and_samples(spark, ties, width):
     aims = [(0, 250), (1, 90), (2, -10_000), (3, 10_000), (9, 0)]
     targets = spark.createDataFrame(aims, "e int, at long")
     near = temporal.nearest(frame(spark, rows), targets, ["e"], "t", "at", ["x", "y"], width, ties)
+    only = {r.e: tuple(r.near) for r in near.collect()}
     deltas = [10, 100]
-    got = temporal.samples_before(frame(spark, rows), near, ["e"], "t", ["x", "y"], deltas, width)
+    times = temporal.nearest_time(frame(spark, rows), targets, ["e"], "t", "at", width, ties)
+    sent = temporal.nearest_time(frame(spark, rows), targets, ["e"], "t", "at", width, ties, 100)
+    assert sorted(times.collect()) == sorted(sent.collect())
+    got = temporal.samples_before(
+        frame(spark, rows), times, ["e"], "t", "near_time", ["x", "y"], deltas, width)
     got = {r.e: r for r in got.collect()}
-    assert set(got) == {0, 1, 2, 3}
+    assert set(got) == set(only) == {0, 1, 2, 3}
     sign = 1 if ties == "early" else -1
     for entity, at in aims[:4]:
         own = [(t, x, y) for e, t, x, y in rows if e == entity]
         want = min(own, key=lambda p: (abs(p[0] - at), sign * p[0], p[1], p[2]))
-        assert tuple(got[entity].near) == want
+        assert tuple(got[entity].near) == only[entity] == want
         for d in deltas:
             seen = [p for p in own if p[0] <= want[0] - d]
             back = got[entity][f"back_{d}"]
