@@ -39,7 +39,7 @@ SELECT user_id, event_id, t, first_value(value) OVER w AS first_value FROM one
 WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)""")
 def trailing_first_value(spark, sf):
     rows = temporal.trailing_first(
-        single_events(spark, sf), ["user_id"], "t", ["value"], 6 * HOUR, DAY)
+        single_events(spark, sf), ["user_id"], "t", ["value"], 6 * HOUR, HOUR)
     return rows.select("user_id", "event_id", "t", "first_value")
 
 
@@ -47,7 +47,7 @@ def trailing_first_value(spark, sf):
 SELECT user_id, event_id, t - first_value(t) OVER w AS covered FROM one
 WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)""")
 def trailing_span(spark, sf):
-    rows = temporal.trailing_span(single_events(spark, sf), ["user_id"], "t", 6 * HOUR, DAY)
+    rows = temporal.trailing_span(single_events(spark, sf), ["user_id"], "t", 6 * HOUR, HOUR)
     return rows.select("user_id", "event_id", "covered")
 
 
@@ -81,7 +81,7 @@ FROM probe GROUP BY user_id, event_id""")
 def asof_lookback(spark, sf):
     rows = temporal.lookback(
         events(spark, sf).select("user_id", "t", "event_id", "value"),
-        ["user_id"], "t", ["value"], [HOUR, DAY], 2 * DAY)
+        ["user_id"], "t", ["value"], [HOUR, DAY], HOUR)
     hour, day = f"back_{HOUR}", f"back_{DAY}"
     return rows.select(
         "user_id", "event_id", F.col(f"{hour}.t").cast("double").alias("hour_t"),

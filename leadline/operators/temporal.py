@@ -28,7 +28,20 @@ def one_per_instant(df: DataFrame, part, time: str, order) -> DataFrame:
 # -- trailing frames ---------------------------------------------------------------
 
 def trailing_first(df: DataFrame, part, time: str, cols, span: int, width: int) -> DataFrame:
-    """Add ``first_<c>``: the earliest value within the last ``span`` units."""
+    """Add ``first_<c>``: the earliest value within the last ``span`` units.
+
+    A sliding frame looks at all its rows again for each row, which is fine for a short
+    span. With a chunk narrower than the span the line counts as dense: the row wanted is
+    then the first one from ``time - span`` on, found as-of on the negated time, so the
+    work grows with the rows whatever the span holds.
+    """
+    if width < span:
+        back = df.withColumn("_neg", F.lit(span) - F.col(time))
+        points = df.select(*part, (-F.col(time)).alias("_neg"),
+                           *[F.col(c).alias(f"first_{c}") for c in cols])
+        firsts = [f"first_{c}" for c in cols]
+        found = asof(back, points, part, "_neg", firsts, width)
+        return found.select(*df.columns, *[F.col(f"asof.{c}").alias(c) for c in firsts])
     w = (Window.partitionBy(*part, CHUNK).orderBy(time).rangeBetween(-span, 0))
     firsts = {f"first_{c}": F.first(c).over(w) for c in cols}
     return own_rows(spread(df, time, width, span).withColumns(firsts))
@@ -109,10 +122,18 @@ def lookback(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFr
 
     The struct holds ``time`` and ``cols``. Rows on the same instant go by the greatest
     ``cols``, in their order. One exchange and one sort serve all lags; what lies before
-    the chunk and its halo comes from the chunk summary.
+    the chunk and its halo comes from the chunk summary. Chunks narrower than the greatest
+    lag are for dense lines: every lag is then an as-of join of the shifted times.
     """
     halo = max(deltas)
     point = F.struct(time, *cols)
+    if width < halo:
+        points, rows = df.select(*part, time, *cols), df.withColumn("_t", F.col(time))
+        for d in deltas:
+            rows = asof(rows.withColumn(time, F.col("_t") - d), points, part, time, cols, width)
+            rows = rows.withColumnRenamed("asof", f"back_{d}")
+        return rows.withColumn(time, F.col("_t")).select(
+            *df.columns, *[f"back_{d}" for d in deltas])
     w = Window.partitionBy(*part, CHUNK).orderBy(time)
     rows = spread(df, time, width, halo).withColumns({
         f"back_{d}": F.max(point).over(w.rangeBetween(FROM_START, -d)) for d in deltas

@@ -9,9 +9,9 @@ from leadline.functions.codes import FRAME, PICKOFF, PITCH, PLAY, POSITIONS_END
 from leadline.functions.states import ball_size, role, runner_on_first_only
 from leadline.operators.ranking import quantile_table
 from leadline.operators.relational import keep_keys
-from leadline.operators.temporal import resample, sync_frames
+from leadline.operators.temporal import attach_to_series, resample, sync_frames
 from leadline.plans.moments import (
-    BEFORE_PICKOFF, BEFORE_PITCH, CHUNK_MS, XY, moment_before, narrow, release_time,
+    BEFORE_PICKOFF, BEFORE_PITCH, CHUNK_MS, NARROW_ROWS, XY, moment_before, release_time,
 )
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
@@ -58,8 +58,7 @@ def lead_scenarios(leads: DataFrame, shares=tuple(SHARES)) -> DataFrame:
 def frames_for(plays: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames of the listed plays, in one pass for all of them."""
     keys = materialise(plays.select(*PLAY).distinct())
-    kept = narrow(frames, keys)
-    return kept if kept is not frames else keep_keys(frames, keys, PLAY)
+    return attach_to_series(frames, keys, PLAY, "timestamp", CHUNK_MS, NARROW_ROWS)
 
 
 def synced_frames(t: Tracking) -> DataFrame:

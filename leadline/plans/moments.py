@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leadline.functions.codes import FIRST_BASE, FRAME, PITCHER, PLAY, RUNNER_FIRST
 from leadline.functions.scalars import all_of, diff_quotient, distance, safe_divide, seconds
-from leadline.operators.relational import keep_keys
-from leadline.operators.temporal import lookback, nearest_time, samples_before, sync_frames
+from leadline.operators.temporal import (
+    attach_to_series, lookback, nearest_time, samples_before, sync_frames,
+)
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
 
@@ -82,8 +83,9 @@ def release_time(t: Tracking, plays: DataFrame | None = None,
         return settled
     apart = distance(F.col("ball_position_x"), F.col("ball_position_y"),
                      (F.col("field_x"), F.col("field_y")))
-    paired = sync_frames(keep_keys(ball.distinct(), redo, PLAY),
-                         keep_keys(pitcher.distinct(), redo, PLAY), FRAME)
+    paired = sync_frames(*[
+        attach_to_series(df.distinct(), redo, PLAY, "timestamp", CHUNK_MS, NARROW_ROWS)
+        for df in (ball, pitcher)], FRAME)
     return settled.unionByName(
         paired.where(apart >= F.lit(float(feet)))
         .groupBy(*PLAY).agg(F.min("timestamp").alias("release_timestamp")))

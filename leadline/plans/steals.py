@@ -59,7 +59,7 @@ def steal_outcome(t: Tracking, candidates: DataFrame | None = None) -> DataFrame
     candidates = steal_candidates(t) if candidates is None else candidates
     states = t.game_info.where(F.col("play_per_game").isNotNull()).select(
         "game_str", "play_per_game", "first_baserunner", "second_baserunner",
-        "third_baserunner", "top_bottom_inning")
+        "third_baserunner", "top_bottom_inning").distinct()
     followed = next_state(candidates, states, ["game_str"], "play_per_game", gaps=True)
     thrown = exists_flag(followed, plays_with(t, THROW), PLAY, "thrown")
     half, next_half = F.col("top_bottom_inning"), F.col("next_top_bottom_inning")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadline.operators import motion, temporal
-from leadline.operators.chunks import chunk_of
+from leadline.operators.chunks import chunk_of, spread
 
 WIDTHS = [50, 173, 100_000]
 
@@ -30,7 +30,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "e int, t long, x double, y int").repartition(3)
 
 
-@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("width", [7, *WIDTHS])
 def test_trailing_first_and_span(spark, width):
     rows = series()
     got = temporal.trailing_first(frame(spark, rows), ["e"], "t", ["x", "t"], 40, width).collect()
@@ -54,7 +54,7 @@ def test_neighbours(spark, width):
         assert r.next_x == (min(later)[1] if later else None)
 
 
-@pytest.mark.parametrize("width", [400, 1000, 100_000])
+@pytest.mark.parametrize("width", [7, 150, 400, 1000, 100_000])
 def test_lookback_with_gaps_and_ties(spark, width):
     rows = series(3, ties=True)
     got = temporal.lookback(frame(spark, rows), ["e"], "t", ["x", "y"], [0, 100, 300], width)
@@ -67,9 +67,9 @@ def test_lookback_with_gaps_and_ties(spark, width):
             assert (tuple(back) if back else None) == (max(seen) if seen else None)
 
 
-def test_lookback_refuses_narrow_chunks(spark):
+def test_halo_must_fit_into_a_chunk(spark):
     with pytest.raises(ValueError):
-        temporal.lookback(frame(spark, series()), ["e"], "t", ["x"], [300], 200)
+        spread(frame(spark, series()), "t", 200, 300)
 
 
 @pytest.mark.parametrize("width", WIDTHS)
