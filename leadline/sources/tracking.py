@@ -100,12 +100,12 @@ def load_tracking(spark: SparkSession, folder: str) -> Tracking:
     })
 
 
-def write_partitioned(df: DataFrame, path: str, by: str = "game_str", spread: str = "play_id",
-                      files_per_group: int = 4, mode: str = "errorifexists") -> None:
+def write_partitioned(df: DataFrame, path: str, by: str = "game_str",
+                      mode: str = "errorifexists") -> None:
     """Write one folder per group.
 
-    Rows are shuffled by group and a small salt of ``spread``, so a folder holds at
-    most ``files_per_group`` files and a very large game still has several writers.
+    Rows are rebalanced by group: adaptive execution merges small groups into one task
+    and splits a very large one over several, so there are neither many tiny files nor
+    one endless writer.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(files_per_group))
-    df.repartition(by, salt).write.mode(mode).partitionBy(by).parquet(path)
+    df.hint("rebalance", F.col(by)).write.mode(mode).partitionBy(by).parquet(path)
