@@ -7,6 +7,7 @@ the same bits.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from leadline.session import scratch_path
@@ -122,7 +123,11 @@ def folder(spark: SparkSession, sf: str) -> str:
 
 
 def tracking(spark: SparkSession, sf: str) -> Tracking:
-    return load_tracking(spark, folder(spark, sf))
+    try:
+        return load_tracking(spark, folder(spark, sf))
+    except AnalysisException:  # the shared folder was cleared in the meantime
+        _WRITTEN.clear()
+        return load_tracking(spark, folder(spark, sf))
 
 
 def double_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -761,8 +761,7 @@ def annotate_frames(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("ball_size"), 4).alias("size"))
 
 
-@check(sql("""
-, series AS (
+@check(sql(""", series AS (
     SELECT game_str, play_id, pos, ts, x, y, NULL::DOUBLE AS z FROM pp WHERE pos < 14
     UNION ALL SELECT game_str, play_id, 0, ts, bx, b_y, bz FROM bp
         WHERE (game_str, play_id, ts) IN (SELECT (game_str, play_id, ts) FROM pp WHERE pos < 14)),
@@ -776,7 +775,7 @@ SELECT g.game_str, g.play_id, CAST(g.pos AS INTEGER) AS pos, count(*) AS n, roun
     round(sum(s.x * step), 3) AS x, round(sum(s.y * step), 3) AS y, round(sum(s.z), 4) AS z
 FROM grid g ASOF JOIN series s ON s.game_str = g.game_str AND s.play_id = g.play_id
     AND s.pos = g.pos AND g.instant >= s.ts
-GROUP BY ALL""".replace("\n, series", ", series", 1), "pp", "bp"))
+GROUP BY ALL""", "pp", "bp"))
 def resample_play(spark, sf):
     rows = leads.resample_play(fx(spark, sf))
     return rows.groupBy(*PLAY, F.col("player_position").alias("pos")).agg(

@@ -15,6 +15,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadline.operators.relational import spread_join
+from leadline.session import materialise
+
 RANGES = 256
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -78,12 +81,14 @@ def quantile_table(df: DataFrame, columns, shares, group=(), ranges: int = RANGE
         for r in ranks.values()
     ])
     wanted = counts.where(hit).select(*by, "_range", "_before", "_all")
-    if not group:
+    if group:
+        # stored, so that it can be counted before it is broadcast
+        kept = spread_join(rows, materialise(wanted), [*by, "_range"])
+    else:
         # two ranges per share and column at most
-        wanted = F.broadcast(wanted)
+        kept = rows.join(F.broadcast(wanted), [*by, "_range"])
     cells = (
-        rows.join(wanted, [*by, "_range"])
-        .groupBy(*by, "_range", "_before", "_all", "value").agg(F.count("*").alias("n"))
+        kept.groupBy(*by, "_range", "_before", "_all", "value").agg(F.count("*").alias("n"))
     )
     inside = Window.partitionBy(*by, "_range").orderBy("value").rowsBetween(*BEFORE)
     below = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
