@@ -8,8 +8,11 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from leadline.llm.langid import languages
 from leadline.llm.packing import pack
+from leadline.llm.pii import personal_data
 from leadline.llm.quality import quality
+from leadline.llm.shards import shards
 from leadline.llm.tokencount import token_counts
 from leadline.llm.toxicity import toxicity
 
@@ -54,3 +57,18 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"),
                         public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    return languages(table(spark, sf, "documents"))
+
+
+@query
+def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards(table(spark, sf, "documents"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data(table(spark, sf, "documents"))
