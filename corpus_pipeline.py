@@ -9,8 +9,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from leadline.llm.neardup import drop_near_duplicates
 from leadline.llm.packing import pack
+from leadline.llm.pii import redact
 from leadline.llm.queries import importable, table
+from leadline.llm.seeds import drop_contaminated
 from leadline.llm.toxicity import drop_toxic
 from leadline.session import scratch_path
 
@@ -20,13 +23,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    importable(spark)
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, marks in place of personal data."""
+    importable(spark)
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 2048 tokens."""
     importable(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("personal_data", personal_data),
+          ("packing", packing)]
 
 # Scores of fitted models and public tokenizers are beyond SQL; tests use brute force.
 ORACLE_SQL = None

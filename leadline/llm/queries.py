@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadline.llm.langid import languages
+from leadline.llm.neardup import near_duplicates
 from leadline.llm.packing import pack
 from leadline.llm.pii import personal_data
 from leadline.llm.quality import quality
+from leadline.llm.seeds import contaminated
 from leadline.llm.shards import shards
 from leadline.llm.tokencount import token_counts
 from leadline.llm.toxicity import toxicity
@@ -72,3 +74,13 @@ def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data(table(spark, sf, "documents"))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
