@@ -13,6 +13,12 @@ def _smallest(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of the links."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(
+        F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``; the root is the smallest node.
 
@@ -21,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = materialise(hot_join(both, _smallest(both), "a").where("b > a").select(
@@ -31,8 +37,7 @@ def components(links: DataFrame) -> DataFrame:
             F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(small.unionByName(least.select("a", F.col("m").alias("b")))
                             .where("a != b").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-                          ).first()
+        state = _state(edges)
         if state == before:
             break
         before = state

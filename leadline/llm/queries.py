@@ -8,6 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from leadline.llm.fingerprints import fingerprints
 from leadline.llm.langid import languages
 from leadline.llm.neardup import near_duplicates
 from leadline.llm.packing import pack
@@ -84,3 +85,8 @@ def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(table(spark, sf, "documents"))
