@@ -10,8 +10,8 @@ Candidates are verified: the labelled grams of both are aligned within the band
 that the threshold allows, and the longest common subsequence c gives c / (n1 + n2 - c).
 
 A bucket of equal tuples is never expanded into pairs: all members are compared with one
-pivot of the bucket. Buckets that hold several classes afterwards get other pivots, in rounds,
-until a round joins no classes. Equal texts are one node from the start.
+pivot of the bucket. Buckets that hold several classes afterwards get other pivots, four to a
+round, until a round joins no classes. Equal texts are one node from the start.
 
 Defined cases: a null text is a class of its own for each doc_id; texts with fewer than five
 words have one gram of all words; texts without a word are near only to equal texts. Extra
@@ -34,6 +34,7 @@ from leadline.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
+PIVOTS = 4   # pivots of a bucket in every round but the first
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
 
 
@@ -123,7 +124,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes that align, with their similarity."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
-    both = hot_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b")
+    both = hot_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b", pairs)
 
     def align(batches):
         for batch in batches:
@@ -148,7 +149,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = materialise(nodes.select("node", F.posexplode("keys").alias("_band", "_key")).select(
         "node", F.xxhash64("_band", "_key").alias("bucket")))
     texts = docs.where(F.col("text").isNotNull()).select(_node(docs).alias("node"), "text")
-    links = classes = tested = None
+    classes = tested = None
     turn = 0
     while True:
         if classes is None:
@@ -156,13 +157,16 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             now = buckets.join(classes, "node", "left").withColumn(
                 "root", F.coalesce("root", "node"))
-        mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "root")
+        chosen = [F.min(F.struct(F.xxhash64("node", F.lit(f"{turn} {k}")).alias("at"),
+                                 "node", "root")).alias(f"p{k}")
+                  for k in range(PIVOTS if turn else 1)]
         pivots = now.groupBy("bucket").agg(
-            F.min(mark).alias("p"), F.min("root").alias("_low"), F.max("root").alias("_high")
-        ).where("_low != _high").select(
-            "bucket", F.col("p.node").alias("b"), F.col("p.root").alias("_root"))
-        pairs = hot_join(now, pivots, "bucket").where("root != _root").select(
-            F.col("node").alias("a"), "b").distinct()
+            *chosen, F.min("root").alias("_low"), F.max("root").alias("_high")
+        ).where("_low != _high").select("bucket", F.array_distinct(F.array(
+            *(f"p{k}" for k in range(len(chosen))))).alias("_pivots"))
+        pairs = hot_join(now, pivots, "bucket", buckets).select(
+            "node", "root", F.explode("_pivots").alias("p")).where("root != p.root").select(
+            F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
@@ -176,8 +180,11 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if new.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        classes = materialise(components(links.select("a", "b")))
+        links = new.select("a", "b")
+        if classes is not None:  # what is known goes in as one link for each node
+            links = links.unionByName(classes.select(
+                F.col("node").alias("a"), F.col("root").alias("b")))
+        classes = materialise(components(links))
         turn += 1
     if classes is None:
         classes = nodes.select("node", F.col("node").alias("root")).limit(0)

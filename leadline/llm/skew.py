@@ -9,16 +9,21 @@ GROUP_ROWS = 512     # rows of one key meant to meet in one task
 HOT_KEYS = 2000      # a key is hot from this fraction of the rows on, so there are no more
 
 
-def hot_join(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, on: str,
+             counted: DataFrame | None = None) -> DataFrame:
     """Inner join on one column; ``small`` has one row for each value of it.
 
     Keys of at least ``GROUP_ROWS`` rows and a ``HOT_KEYS``-th of ``big`` are dealt over
     shares of ``GROUP_ROWS`` rows by a hash of the row; only that list, at most ``HOT_KEYS``
-    keys, is broadcast. All rows are kept; a null key matches nothing.
+    keys, is broadcast. All rows are kept; a null key matches nothing. ``counted`` is a stored
+    table with the rows of ``big`` or more, to count the keys in.
     """
     big = big.where(F.col(on).isNotNull())
-    sizes = big.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= GROUP_ROWS)
-    total = big.count()
+    counted = big if counted is None else counted
+    total = counted.count()
+    if total < GROUP_ROWS:  # no key can be hot
+        return big.join(small, on)
+    sizes = counted.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= GROUP_ROWS)
     hot = sizes.where(F.col("_n") >= total / HOT_KEYS).select(
         F.col(on).alias("_key"), F.ceil(F.col("_n") / GROUP_ROWS).cast("int").alias("_shares"))
     hot = F.broadcast(hot)
