@@ -261,12 +261,12 @@ def accuracy(rows, of, key="predicted"):
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # smaller tables hold too few labels to learn from
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     marks = labels.collect()
     assert accuracy(quality(docs, labels).collect(),
-                    {r["doc_id"]: r["quality"] for r in marks}) > 0.8
+                    {r["doc_id"]: r["quality"] for r in marks}) > 0.9
     assert accuracy(toxicity(docs, labels).collect(),
                     {r["doc_id"]: r["toxic"] for r in marks}) > 0.9
     named = {r["doc_id"]: r["lang"] for r in docs.where("lang is not null").collect()}
-    assert accuracy(languages(docs).collect(), named, "lang_pred") > 0.9
+    assert accuracy(languages(docs).collect(), named, "lang_pred") > 0.99
