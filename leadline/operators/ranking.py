@@ -204,22 +204,25 @@ def stratified_folds(df: DataFrame, label: str, folds: int, key: Column, ties, s
 
     The order is a hash of the integer ``key``, then ``ties``. The hash range is cut into
     even cells; a row's number is the cell's offset in its class plus its number in the
-    cell, so a large class is numbered by many tasks.
+    cell, so a large class is numbered by many tasks. Rows without a label are dealt out
+    like a class of their own.
     """
     # The hash is written in plain integer arithmetic to be portable.
     modulus = 1_000_003
-    hashed = F.pmod(key.cast("bigint") * 7919 + seed * 104729, F.lit(modulus))
+    hashed = F.pmod(F.pmod(key.cast("bigint"), F.lit(modulus)) * 7919 + seed * 104729,
+                    F.lit(modulus))  # reduced first, so that no key overflows
     rows = df.withColumn("_h", hashed).withColumn(
         "_cell", F.floor(F.col("_h") * cells / F.lit(modulus)).cast("int"))
     sizes = rows.groupBy(label, "_cell").agg(F.count("*").alias("_n"))
     along = Window.partitionBy(label).orderBy("_cell").rowsBetween(*BEFORE)
-    offsets = sizes.select(label, "_cell", F.coalesce(
+    offsets = sizes.select(F.col(label).alias("_of"), F.col("_cell").alias("_at"), F.coalesce(
         F.sum("_n").over(along), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(label, "_cell").orderBy(
         "_h", *[F.asc_nulls_last(t) for t in ties])
     return (
         rows.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, [label, "_cell"])
+        .join(offsets, F.col(label).eqNullSafe(F.col("_of"))
+              & F.col("_cell").eqNullSafe(F.col("_at")))
         .withColumn("fold", ((F.col("_before") + F.col("_i") - 1) % folds).cast("int"))
         .select(*df.columns, "fold")
     )

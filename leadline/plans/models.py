@@ -156,8 +156,9 @@ def score(df: DataFrame, model: Fitted, prefix: str = "p_") -> DataFrame:
 
 def _training(df, features, label, weighted, scaled):
     """(rows with features, label index and weight, Fitted without a model, rows)."""
+    df = df.where(F.col(label).isNotNull())
     values = medians(df, features)
-    filled = fill_medians(df.where(F.col(label).isNotNull()), values)
+    filled = fill_medians(df, values)
     scale = scaling(filled, features) if scaled else {}
     sizes = {r[label]: r["class_rows"] for r in class_sizes(filled, label).collect()}
     if not sizes:
@@ -227,6 +228,7 @@ def fit_boost(df: DataFrame, features, label: str, trees: int = TREES, depth: in
     boosting once the gain on them falls below ``tolerance``.
     """
     train = df if validation is None else df.where(~F.col(validation))
+    train = train.where(F.col(label).isNotNull())
     two = class_sizes(train, label).count() == 2
     rows, fitted, _ = _training(train, features, label, "positive" if two else "balanced", False)
     if len(fitted.classes) == 1:

@@ -113,3 +113,13 @@ def test_histogram(spark):
     flat = summary.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 4)
     assert flat.agg(F.sum("n")).first()[0] == 2
     assert summary.histogram(df.where("v > 99"), "v", 4).count() == 0
+
+
+def test_folds_keep_null_labels_and_great_keys(spark):
+    rows = [(k * 10**15 * 2 + k, [None, "a", "b"][k % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "k bigint, label string")
+    found = ranking.stratified_folds(df, "label", 5, F.col("k"), ["k"]).collect()
+    assert len(found) == 60
+    for label in (None, "a", "b"):
+        folds = [r["fold"] for r in found if r["label"] == label]
+        assert sorted(folds) == sorted(list(range(5)) * 4)
