@@ -10,7 +10,7 @@ Candidates are verified: the labelled grams of both are aligned within the band
 that the threshold allows, and the longest common subsequence c gives c / (n1 + n2 - c).
 
 A bucket of equal tuples is never expanded into pairs: all members are compared with one
-pivot of the bucket. Buckets that hold several classes afterwards get other pivots, four to a
+pivot of the bucket. Buckets that hold several classes afterwards get other pivots, 16 to a
 round, until a round joins no classes. Equal texts are one node from the start.
 
 Defined cases: a null text is a class of its own for each doc_id; texts with fewer than five
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadline.llm.components import components
-from leadline.llm.skew import hot_join
+from leadline.llm.skew import hot_join, narrow_join
 from leadline.llm.text import BASE, MIX, blocks, hashes, mix, words
 from leadline.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
-PIVOTS = 4   # pivots of a bucket in every round but the first
+PIVOTS = 16  # pivots of a bucket in every round but the first
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
 
 
@@ -142,21 +142,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         align, "a string, b string, similarity double").where("similarity > 0")
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored tables: (doc_id, node) of every row, and (node, root) of nodes in a class of several."""
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: (doc_id, node) of every row, (node, _first) of every node with its
+    smallest doc_id, and (node, root) of every node that shares a bucket with another one.
+    """
     seen = materialise(_sketches(docs))
-    nodes = seen.groupBy("node").agg(F.first("keys").alias("keys"))
-    buckets = materialise(nodes.select("node", F.posexplode("keys").alias("_band", "_key")).select(
+    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("_first"),
+                                     F.first("keys").alias("keys"))
+    nodes = materialise(nodes)
+    every = materialise(nodes.select("node", F.posexplode("keys").alias("_band", "_key")).select(
         "node", F.xxhash64("_band", "_key").alias("bucket")))
-    texts = docs.where(F.col("text").isNotNull()).select(_node(docs).alias("node"), "text")
-    classes = tested = None
+    crowded = every.groupBy("bucket").agg(
+        F.min("node").alias("_low"), F.max("node").alias("_high")).where(
+        "_low != _high").select("bucket")
+    buckets = materialise(narrow_join(every, crowded, "bucket", every.count()))
+    rows = buckets.count()
+    labels = materialise(buckets.select("node").distinct().select(
+        "node", F.col("node").alias("root")))
+    own = None  # texts of these nodes, one row each
+    tested = None
     turn = 0
     while True:
-        if classes is None:
-            now = buckets.withColumn("root", F.col("node"))
-        else:
-            now = buckets.join(classes, "node", "left").withColumn(
-                "root", F.coalesce("root", "node"))
+        now = buckets.join(labels, "node")  # a node has as many rows as there are sketches
         chosen = [F.min(F.struct(F.xxhash64("node", F.lit(f"{turn} {k}")).alias("at"),
                                  "node", "root")).alias(f"p{k}")
                   for k in range(PIVOTS if turn else 1)]
@@ -164,38 +171,45 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             *chosen, F.min("root").alias("_low"), F.max("root").alias("_high")
         ).where("_low != _high").select("bucket", F.array_distinct(F.array(
             *(f"p{k}" for k in range(len(chosen))))).alias("_pivots"))
-        pairs = hot_join(now, pivots, "bucket", buckets).select(
+        pairs = narrow_join(now, pivots, "bucket", rows).select(
             "node", "root", F.explode("_pivots").alias("p")).where("root != p.root").select(
-            F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+            F.col("node").alias("a"), F.col("p.node").alias("b"),
+            F.col("root").alias("ra"), F.col("p.root").alias("rb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         if pairs.isEmpty():
             break
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = texts.join(wanted, "node", "left_semi")
-        # copies of one text: the first is enough, chosen on the map side
-        own = own.groupBy("node").agg(F.first("text").alias("text"))
-        new = materialise(verified(pairs, own))
+        if own is None:
+            own = materialise(_texts(docs, labels.join(nodes, "node").select("node", "_first")))
+        new = materialise(verified(pairs.select("a", "b"), own))
         if new.isEmpty():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new.select("a", "b")
-        if classes is not None:  # what is known goes in as one link for each node
-            links = links.unionByName(classes.select(
-                F.col("node").alias("a"), F.col("root").alias("b")))
-        classes = materialise(components(links))
+        once = pairs.select("a", "b")
+        tested = once if tested is None else tested.unionByName(once)
+        # classes known before are single nodes now
+        links = new.select("a", "b").join(pairs, ["a", "b"]).select(
+            F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        labels = materialise(narrow_join(labels, joined, "root", rows, "left").select(
+            "node", F.coalesce("_to", "root").alias("root")))
         turn += 1
-    if classes is None:
-        classes = nodes.select("node", F.col("node").alias("root")).limit(0)
-    return seen.select("doc_id", "node"), classes
+    return seen.select("doc_id", "node"), nodes.select("node", "_first"), labels
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes (node, _first), read from the row of the first doc_id."""
+    marked = docs.where(F.col("text").isNotNull()).select("doc_id", _node(docs).alias("node"), "text")
+    return marked.alias("d").join(
+        wanted.alias("w"), (F.col("d.node") == F.col("w.node"))
+        & F.col("d.doc_id").eqNullSafe(F.col("w._first")), "left_semi").groupBy("node").agg(
+        F.first("text").alias("text"))
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stored rows, and (node, _first, root) of every node; _first is its smallest doc_id."""
-    seen, classes = near_classes(docs)
-    sizes = seen.groupBy("node").agg(F.min("doc_id").alias("_first"))
-    return seen, materialise(sizes.join(classes, "node", "left").withColumn(
+    seen, nodes, labels = near_classes(docs)
+    return seen, materialise(nodes.join(labels, "node", "left").withColumn(
         "root", F.coalesce("root", "node")))
 
 
@@ -203,8 +217,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and kept of every row; the class is named by its smallest doc_id."""
     seen, nodes = _rooted(docs)
     named = nodes.groupBy("root").agg(F.min("_first").alias("class_id"))
-    of = hot_join(nodes.select("node", "root"), named, "root").select("node", "class_id")
-    return hot_join(seen, of, "node").select(
+    of = narrow_join(nodes.select("node", "root"), named, "root", nodes.count()).select(
+        "node", "class_id")
+    return narrow_join(seen, materialise(of), "node", seen.count()).select(
         "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
