@@ -23,15 +23,17 @@ def _state(edges: DataFrame) -> tuple[int, bool]:
     return found[0] or 0, bool(found[1])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, root`` for every node of the links ``a, b``; the root is the smallest node.
 
     Every round ties the larger neighbours of a node to the smallest one, then the smaller
     ones; rounds end when every node has one link, to a node that has none. Each round is a
-    stored table.
+    stored table. ``rows`` is about the number of links, where the caller knows it; it sets
+    the number of tasks that write the first table.
     """
-    edges = materialise(links.where("a != b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = links.where("a != b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialise(edges if rows is None else edges.coalesce(parts(rows)))
     n, open_ends = _state(edges)
     while open_ends:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

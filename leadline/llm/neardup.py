@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadline.llm.components import components
-from leadline.llm.skew import hot_join, narrow_join
+from leadline.llm.skew import hot_join, narrow_join, parts
 from leadline.llm.text import BASE, MIX, blocks, hashes, mix, words
 from leadline.session import materialise
 
@@ -177,7 +177,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.col("root").alias("ra"), F.col("p.root").alias("rb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = materialise(pairs.coalesce(parts(rows)))
         if pairs.isEmpty():
             break
         if own is None:
@@ -190,9 +190,9 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         # classes known before are single nodes now
         links = new.select("a", "b").join(pairs, ["a", "b"]).select(
             F.col("ra").alias("a"), F.col("rb").alias("b"))
-        joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        joined = components(links, rows).select(F.col("node").alias("root"), F.col("root").alias("_to"))
         labels = materialise(narrow_join(labels, joined, "root", rows, "left").select(
-            "node", F.coalesce("_to", "root").alias("root")))
+            "node", F.coalesce("_to", "root").alias("root")).coalesce(parts(rows)))
         turn += 1
     return seen.select("doc_id", "node"), nodes.select("node", "_first"), labels
 
