@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from leadline.session import materialise
 
 WINDOW, UNIT, CLOSING_ID = 2048, 4, 1
 KEPT = 400_000
-RANKED_ROWS = 100_000   # rows meant to be ranked together in one group
+GROUPING = 4   # a length's pieces are ranked in sqrt(rows) / GROUPING groups
 
 
 class Encoder:
@@ -215,8 +216,9 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     stored = materialise(cut(docs, path)
                          .withColumn("_units", F.ceil(F.col("length") / UNIT).cast("int"))
                          .withColumn("_row", F.monotonically_increasing_id()))
-    # groups of rows that are ranked together grow in number, not in size
-    groups = max(1, stored.count() // RANKED_ROWS)
+    # one length may hold any share of the rows: the number and the size of the groups ranked
+    # together both grow with the root of the rows
+    groups = max(1, isqrt(stored.count()) // GROUPING)
     split = stored.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     sizes = materialise(split.groupBy("_units", "_group").agg(F.count(F.lit(1)).alias("_n")))
     counts = np.zeros(units + 1, np.int64)
