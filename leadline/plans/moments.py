@@ -32,17 +32,18 @@ def runner_on_first_frames(t: Tracking) -> DataFrame:
 
 
 def narrow(frames: DataFrame, plays: DataFrame | None) -> DataFrame:
-    """Drop frames of other plays before they are shuffled, if the stored list is short.
+    """Frames of the listed plays only, whatever the length of the list.
 
-    Only saves work: the joins that follow select the plays in any case. A key is a short
-    text and an int, so the list that is broadcast stays within some tens of megabytes.
+    A short list, counted first, is broadcast so that the frames are not shuffled: a key is a
+    short text and an int, so it stays within some tens of megabytes. The rows are the same
+    either way.
     """
     if plays is None:
         return frames
-    keys = plays.select(*PLAY)
-    if keys.limit(NARROW_ROWS + 1).count() > NARROW_ROWS:
-        return frames
-    return frames.join(F.broadcast(keys), PLAY, "left_semi")
+    keys = plays.select(*PLAY).distinct()
+    if keys.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS:
+        keys = F.broadcast(keys)
+    return frames.join(keys, PLAY, "left_semi")
 
 
 def release_time(t: Tracking, plays: DataFrame | None = None,

@@ -44,6 +44,14 @@ def test_gap_longer_than_a_lag(spark):
     assert {r.near.timestamp for r in middle} == {1000, 1050, 1100}
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_release_of_listed_plays_whatever_the_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(moments, "NARROW_ROWS", bound)
+    t = make(spark, [info(1), info(2)], [], pitcher(1) + pitcher(2), ball(1) + ball(2))
+    only = spark.createDataFrame([("G", 2), ("G", 2)], "game_str string, play_id int")
+    assert [r.play_id for r in moments.release_time(t, only).collect()] == [2]
+
+
 def test_release_with_copies_contradictions_and_no_release(spark):
     players = pitcher(1) + pitcher(1) + pitcher(2) + pitcher(3) + pitcher(4)
     # play 2: at 500 ms one of two ball rows is away from the pitcher
