@@ -8,7 +8,8 @@ numbers behind a cue, and secrets (assigned passwords, tokens and keys).
 
 Parsers never walk over the same characters twice for one kind, so work is linear in the
 text. Matches of one kind do not overlap, the leftmost first; candidates that fail
-validation are dropped and not tried again in part.
+validation are dropped and not tried again in part. Marks of the redaction, such as
+``<SECRET>``, are not personal data themselves.
 
 Defined cases: a null text counts as empty and has no spans; redaction leaves it null.
 Repeated rows and extra columns do not matter: one row out for each row in.
@@ -39,7 +40,10 @@ SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 WEB_BODY = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 IBAN_BODY = re.compile(r"[\s:]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 ACCOUNT_BODY = re.compile(r"\s{0,3}(?:(?:number|no\.?|num|#)\s{0,3})?[:=#]?\s{0,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
-SECRET_BODY = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
+# A secret is more than the marks that stand for spans already taken out.
+MARKS = "(?:<(?:%s)>)+" % "|".join(k.upper() for k in BASE_KINDS + MORE_KINDS)
+SECRET_BODY = re.compile(
+    r"\s{0,3}[:=]\s{0,3}[\"']?(?!" + MARKS + r"(?:[\s\"',;]|\Z))([^\s\"',;]{6,})")
 KEY_BODY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 
 
@@ -192,6 +196,8 @@ def redacted(text: str) -> str:
     """The text with a mark in place of each span; spans that overlap share one mark.
 
     Repeated until nothing is found, since taking a span out can join what stood around it.
+    This ends: a mark lies in a span as a whole or not at all, and every span holds characters
+    outside of marks, so each round leaves fewer of those.
     """
     while spans := sorted((a, b, kind) for kind, a, b in find(text)):
         parts, at = [], 0
