@@ -11,7 +11,11 @@ that the threshold allows, and the longest common subsequence c gives c / (n1 +
 
 A bucket of equal tuples is never expanded into pairs: all members are compared with one
 pivot of the bucket. Buckets that hold several classes afterwards get other pivots, 16 to a
-round, until a round joins no classes. Equal texts are one node from the start.
+round, until a round joins no classes. That merges large classes cheaply; the rest is exact:
+all nodes of buckets with several classes and untested pairs are joined on the rare ends of
+their gram sets (``_near_ends``). A pair of different classes that can reach the threshold
+meets there and is aligned; only bounds that hold for every such pair leave any out. Equal
+texts are one node from the start.
 
 Defined cases: a null text is a class of its own for each doc_id; texts with fewer than five
 words have one gram of all words; texts without a word are near only to equal texts. Extra
@@ -35,6 +39,7 @@ from leadline.session import materialise
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
 PIVOTS = 16  # pivots of a bucket in every round but the first
+SLOTS = 1 << 22  # counters that tell rare grams from common ones; any number is right
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
 
 
@@ -142,6 +147,83 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         align, "a string, b string, similarity double").where("similarity > 0")
 
 
+def _gram_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a gram of each slot, so no fewer than hold any one of its grams."""
+
+    def count(batches):
+        found = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, part in blocks(batch, "text"):
+                for own in grams(part):
+                    np.add.at(found, (own % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(found)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k:k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), pa.array(found[part])], names=["slot", "n"])
+
+    # SLOTS short rows at most
+    rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()
+    found = np.zeros(SLOTS, np.int64)
+    found[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return found
+
+
+def rare_end(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and grams of the prefix of ``own``, in one order of all grams with rare ones first.
+
+    A text of n grams and one of m <= n have SIMILARITY only if they share SIMILARITY * n
+    grams, so the first one they share is among the first n - SIMILARITY * n + 1. Grams that
+    no other text holds are left out.
+    """
+    often = counts[(own % np.uint64(SLOTS)).astype(np.int64)]
+    order = np.lexsort((own, often))[:len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-6)) + 1]
+    at = np.flatnonzero(often[order] > 1)
+    return at, own[order[at]]
+
+
+def _near_ends(texts: DataFrame) -> DataFrame:
+    """Pairs a, b with their roots ra, rb that differ, of the stored node, root, text.
+
+    Every pair with SIMILARITY is there. It is met at the first gram that both share in the
+    order of ``rare_end``; what follows on either side bounds what they can have in common,
+    and the shorter text needs a shorter prefix.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts))
+
+    def ends(batches):
+        counts = shared.value
+        for batch in batches:
+            for rows, part in blocks(batch, "text"):
+                each = grams(part)
+                found = [rare_end(own, counts) for own in each]
+                size = np.array([len(at) for at, _ in found], np.int64)
+                of = pa.array(np.repeat(np.arange(len(found)), size))
+                empty = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(of), rows.column(1).take(of),
+                     pa.array(np.repeat([len(own) for own in each], size).astype(np.int64)),
+                     pa.array(np.concatenate([empty, *(at for at, _ in found)])),
+                     pa.array(np.concatenate([empty, *(g.view(np.int64) for _, g in found)]))],
+                    names=["node", "root", "n", "place", "gram"])
+
+    entries = materialise(texts.select("node", "root", "text").mapInArrow(
+        ends, "node string, root string, n bigint, place bigint, gram bigint"))
+    several = entries.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias(
+        "_high")).where("_low != _high").select("gram")
+    total = entries.count()
+    entries = materialise(narrow_join(entries, several, "gram", total))
+    share = SIMILARITY / (1 + SIMILARITY)
+    short = entries.where(F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6)
+    return short.alias("s").join(entries.alias("l"), F.expr(f"""
+        s.gram = l.gram AND s.root != l.root AND (s.n < l.n OR s.n = l.n AND s.node < l.node)
+        AND s.n >= {SIMILARITY}D * l.n - 1e-6D
+        AND least(s.n - s.place, l.n - l.place) >= {share}D * (s.n + l.n) - 1e-6D""")).select(
+        F.col("s.node").alias("a"), F.col("l.node").alias("b"),
+        F.col("s.root").alias("ra"), F.col("l.root").alias("rb")).distinct()
+
+
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables: (doc_id, node) of every row, (node, _first) of every node with its
     smallest doc_id, and (node, root) of every node that shares a bucket with another one.
@@ -168,8 +250,9 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                                  "node", "root")).alias(f"p{k}")
                   for k in range(PIVOTS if turn else 1)]
         pivots = now.groupBy("bucket").agg(
-            *chosen, F.min("root").alias("_low"), F.max("root").alias("_high")
-        ).where("_low != _high").select("bucket", F.array_distinct(F.array(
+            *chosen, F.min("root").alias("_low"), F.max("root").alias("_high"),
+            F.count(F.lit(1)).alias("_n")
+        ).where("_low != _high").select("bucket", "_n", F.array_distinct(F.array(
             *(f"p{k}" for k in range(len(chosen))))).alias("_pivots"))
         pairs = narrow_join(now, pivots, "bucket", rows).select(
             "node", "root", F.explode("_pivots").alias("p")).where("root != p.root").select(
@@ -183,20 +266,38 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if own is None:
             own = materialise(_texts(docs, labels.join(nodes, "node").select("node", "_first")))
         new = materialise(verified(pairs.select("a", "b"), own))
-        if new.isEmpty():
-            break
         once = pairs.select("a", "b")
         tested = once if tested is None else tested.unionByName(once)
-        # classes known before are single nodes now
-        links = new.select("a", "b").join(pairs, ["a", "b"]).select(
-            F.col("ra").alias("a"), F.col("rb").alias("b"))
-        joined = components(links, rows).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-        labels = materialise(narrow_join(labels, joined, "root", rows, "left").select(
-            "node", F.coalesce("_to", "root").alias("root")).coalesce(parts(rows)))
+        if new.isEmpty():
+            break
+        labels = _joined(labels, new, pairs, rows)
         turn += 1
+    # pairs of pivots are tested, so two members at least must be none
+    crowded = pivots.where(F.col("_n") - F.size("_pivots") > 1).select("bucket")
+    rest = materialise(buckets.join(crowded, "bucket", "left_semi").select("node").distinct().join(
+        labels, "node"))
+    if not rest.isEmpty():
+        texts = materialise(narrow_join(own, rest, "node", rows).select("node", "root", "text"))
+        pairs = _near_ends(texts)
+        if tested is not None:
+            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        new = materialise(verified(pairs.select("a", "b"), own))
+        if not new.isEmpty():
+            labels = _joined(labels, new, pairs, rows)
     return seen.select("doc_id", "node"), nodes.select("node", "_first"), labels
 
 
+def _joined(labels: DataFrame, new: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """The labels after the links ``new``; classes known before are single nodes here."""
+    links = new.select("a", "b").join(pairs, ["a", "b"]).select(
+        F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joined = components(links, rows).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return materialise(narrow_join(labels, joined, "root", rows, "left").select(
+        "node", F.coalesce("_to", "root").alias("root")).coalesce(parts(rows)))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, _first), read from the row of the first doc_id."""
     marked = docs.where(F.col("text").isNotNull()).select("doc_id", _node(docs).alias("node"), "text")
