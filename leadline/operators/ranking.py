@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadline.operators.relational import spread_join
+from leadline.operators.relational import null_safe_join, spread_join
 from leadline.session import materialise
 
 RANGES = 256
@@ -83,7 +83,7 @@ def quantile_table(df: DataFrame, columns, shares, group=(), ranges: int = RANGE
     wanted = counts.where(hit).select(*by, "_range", "_before", "_all")
     if group:
         # stored, so that it can be counted before it is broadcast
-        kept = spread_join(rows, materialise(wanted), [*by, "_range"])
+        kept = spread_join(rows, materialise(wanted), [*by, "_range"], null_safe=True)
     else:
         # two ranges per share and column at most
         kept = rows.join(F.broadcast(wanted), [*by, "_range"])
@@ -137,7 +137,7 @@ def running_counts(df: DataFrame, value: str, counts: dict, group=(),
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(*BEFORE)
     placed = cells.withColumns({
         f"_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts})
-    return placed.join(offsets, [*by, "_range"]).select(
+    return null_safe_join(placed, offsets, [*by, "_range"]).select(
         *by, value, *counts,
         *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_below") for c in counts],
         *[f"{c}_all" for c in counts])
@@ -193,7 +193,7 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: dict, group=(),
     each = roc_auc(rows, "hit", "score", by, ranges)
     sizes = rows.groupBy(*by).agg(F.sum("hit").alias("n"))
     weight = F.when(F.col("auc").isNotNull(), F.col("n"))
-    return each.join(sizes, by).groupBy(*group).agg(
+    return null_safe_join(each, sizes, by).groupBy(*group).agg(
         (F.sum(F.col("auc") * F.col("n")) / F.nullif(F.sum(weight).cast("double"), F.lit(0.0)))
         .alias("auc"))
 

@@ -10,8 +10,22 @@ HOT_SHARE = 0.001          # a key above this share of all rows is salted
 SALTS = 64                 # tasks a hot key is spread over
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join by columns of the same names in which null equals null; the left keys stay.
+
+    Holds for inner, left, left_semi and left_anti.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.join(right, keys, how)
+    other = right.select(*[F.col(c).alias(f"_of_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return left.join(other, same, how).drop(*[f"_of_{c}" for c in keys])
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+                broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+                null_safe: bool = False) -> DataFrame:
     """Join in which no key of ``big`` ends up in one task.
 
     ``small`` is counted (a footer read for a stored table). Up to ``broadcast_rows`` it
@@ -19,23 +33,28 @@ def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
     hot keys of ``big`` get a salt: its rows are spread by a hash over all columns and
     the matching rows of ``small`` are repeated once per salt. There can be at most
     1 / HOT_SHARE hot keys, so that list may be broadcast. Holds for inner, left,
-    left_semi and left_anti; rows with the same key on ``small`` all match.
+    left_semi and left_anti; rows with the same key on ``small`` all match. With
+    ``null_safe`` null equals null.
     """
     keys = list(keys)
+
+    def join(left, right, on, how):
+        return null_safe_join(left, right, on, how) if null_safe else left.join(right, on, how)
+
     if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return big.join(F.broadcast(small), keys, how)
+        return join(big, F.broadcast(small), keys, how)
 
     counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).select(F.col("_t") * HOT_SHARE).scalar()
     hot = F.broadcast(counts.where(F.col("_n") > total).select(*keys, F.lit(True).alias("_hot")))
 
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    salted = big.join(hot, keys, "left").withColumn(
+    salted = join(big, hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-    repeated = small.join(hot, keys, "left").withColumn("_salt", F.explode(
+    repeated = join(small, hot, keys, "left").withColumn("_salt", F.explode(
         F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
         .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach_lookup(df: DataFrame, table: DataFrame, left_on: str, right_on: str,

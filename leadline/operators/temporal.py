@@ -1,16 +1,21 @@
 """Operators on ordered rows of an entity. They know no column names.
 
-``part`` names the entity columns, ``time`` an integer column that is not null,
+``part`` names the entity columns. Null is an entity of its own for the trailing, previous and
+next operators, as in a window; for look-backs and as-of joins it matches nothing, as in a
+join by equal keys. ``time`` names an integer column that is not null,
 ``width`` the chunk width (see ``chunks``). The trailing, previous and next operators
 expect one row per entity and time; ``one_per_instant`` gives that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadline.operators.chunks import CHUNK, OWN, chunk_of, offset_in_chunk, own_rows, spread
+from leadline.operators.relational import null_safe_join
 
 FROM_START = Window.unboundedPreceding
 
@@ -40,7 +45,7 @@ def trailing_first(df: DataFrame, part, time: str, cols, span: int, width: int)
         points = df.select(*part, (-F.col(time)).alias("_neg"),
                            *[F.col(c).alias(f"first_{c}") for c in cols])
         firsts = [f"first_{c}" for c in cols]
-        found = asof(back, points, part, "_neg", firsts, width)
+        found = asof(back, points, part, "_neg", firsts, width, null_keys=True)
         return found.select(*df.columns, *[F.col(f"asof.{c}").alias(c) for c in firsts])
     w = (Window.partitionBy(*part, CHUNK).orderBy(time).rangeBetween(-span, 0))
     firsts = {f"first_{c}": F.first(c).over(w) for c in cols}
@@ -71,7 +76,7 @@ def _neighbour(df, part, time, cols, width, forward: bool) -> DataFrame:
     across = Window.partitionBy(*part).orderBy(CHUNK)
     edges = edges.select(*part, CHUNK, step("_edge").over(across).alias("_edge"))
     return (
-        rows.join(edges, [*part, CHUNK], "left")
+        null_safe_join(rows, edges, [*part, CHUNK], "left")
         .withColumn("_near", F.coalesce("_near", "_edge"))
         .drop("_edge", CHUNK)
     )
@@ -123,10 +128,12 @@ def lookback(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFr
     The struct holds ``time`` and ``cols``. Rows on the same instant go by the greatest
     ``cols``, in their order. One exchange and one sort serve all lags; what lies before
     the chunk and its halo comes from the chunk summary. Chunks narrower than the greatest
-    lag are for dense lines: every lag is then an as-of join of the shifted times.
+    lag are for dense lines: every lag is then an as-of join of the shifted times. As in a
+    join by equal keys, a row whose entity is null sees no row, whatever the width.
     """
     halo = max(deltas)
     point = F.struct(time, *cols)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in part], F.lit(True))
     if width < halo:
         points, rows = df.select(*part, time, *cols), df.withColumn("_t", F.col(time))
         for d in deltas:
@@ -151,16 +158,18 @@ def lookback(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFr
     ).alias("_carried"))
     return (
         rows.join(carried, [*part, CHUNK], "left")
-        .withColumns({f"back_{d}": F.coalesce(f"back_{d}", "_carried") for d in deltas})
+        .withColumns({f"back_{d}": F.when(known, F.coalesce(f"back_{d}", "_carried"))
+                      for d in deltas})
         .drop("_carried", CHUNK)
     )
 
 
-def asof(left: DataFrame, right: DataFrame, keys, time: str, cols, width: int) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys, time: str, cols, width: int,
+         null_keys: bool = False) -> DataFrame:
     """Add struct ``asof`` to ``left``: the last row of ``right`` at or before its time.
 
     Both sides go through one window per (key, chunk) as tagged rows; ties on the right
-    go by the greatest ``cols``.
+    go by the greatest ``cols``. A null key matches nothing, or with ``null_keys`` a null.
     """
     rest = [c for c in left.columns if c not in (*keys, time)]
     point = F.struct(time, *cols)
@@ -168,7 +177,8 @@ def asof(left: DataFrame, right: DataFrame, keys, time: str, cols, width: int) -
     rest_type = left.select(F.struct(F.lit(1).alias("_x"), *rest).alias("r")).schema["r"].dataType
     probes = left.select(*keys, time, F.struct(F.lit(1).alias("_x"), *rest).alias("_row"),
                          F.lit(None).cast(point_type).alias("_p"))
-    facts = right.where(F.col(time).isNotNull()).dropna(subset=list(keys)).select(
+    known = right.where(F.col(time).isNotNull())
+    facts = (known if null_keys or not keys else known.dropna(subset=list(keys))).select(
         *keys, time, F.lit(None).cast(rest_type).alias("_row"), point.alias("_p"))
     both = probes.unionByName(facts).withColumn(CHUNK, chunk_of(time, width))
 
@@ -180,7 +190,7 @@ def asof(left: DataFrame, right: DataFrame, keys, time: str, cols, width: int) -
         both.groupBy(*keys, CHUNK).agg(F.max("_p").alias("_last"))
         .select(*keys, CHUNK, F.max("_last").over(across).alias("_carried"))
     )
-    return seen.join(carried, [*keys, CHUNK], "left").select(
+    return null_safe_join(seen, carried, [*keys, CHUNK], "left").select(
         *keys, time, *[F.col(f"_row.{c}").alias(c) for c in rest],
         F.coalesce("asof", "_carried").alias("asof"))
 
