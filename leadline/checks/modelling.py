@@ -1,7 +1,7 @@
 """Data work around models, fits, comparison and payoffs.
 
-Fits have no oracle: their numbers are Spark's own. They run on all of ``lineitem``; the
-number of trees and folds is kept small here, as these are settings of the operators.
+Fits have no oracle: their numbers are Spark's own. They run on all of ``lineitem`` with the
+trees, folds and iterations of the full runs.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def fit_logit_multi(spark, sf):
 @check()
 def fit_forest(spark, sf):
     rows = _flags(spark, sf)
-    return _scored(rows, models.fit_forest(rows, FEATURES, "l_returnflag", 10), "l_returnflag")
+    return _scored(rows, models.fit_forest(rows, FEATURES, "l_returnflag"), "l_returnflag")
 
 
 @check()
@@ -196,39 +196,38 @@ def fit_boost(spark, sf):
     rows = ranking.stratified_folds(
         returned(with_holes(spark, sf)), "returned", 5, F.col("l_orderkey"), TIES)
     rows = rows.withColumn("held", F.col("fold") == 0).select("returned", "held", *FEATURES)
-    model = models.fit_boost(rows, FEATURES, "returned", 5, validation="held")
+    model = models.fit_boost(rows, FEATURES, "returned", validation="held")
     return _scored(rows, model, "returned").withColumn("trees", F.lit(model.trees))
 
 
 @check()
 def fit_boost_multi(spark, sf):
     rows = _flags(spark, sf)
-    return _scored(rows, models.fit_boost(rows, FEATURES, "l_returnflag", 3), "l_returnflag")
+    return _scored(rows, models.fit_boost(rows, FEATURES, "l_returnflag"), "l_returnflag")
 
 
 @check()
 def score(spark, sf):
     rows = _flags(spark, sf)
-    model = models.fit_logit(rows, FEATURES, "l_returnflag", iterations=20)
+    model = models.fit_logit(rows, FEATURES, "l_returnflag")
     return models.score(with_holes(spark, sf).select(*LINE, "l_returnflag", *FEATURES), model)
 
 
 @check()
 def importance(spark, sf):
     rows = _flags(spark, sf)
-    linear = models.fit_logit(rows, FEATURES, "l_returnflag", iterations=20)
-    forest = models.fit_forest(rows, FEATURES, "l_returnflag", 5)
+    linear = models.fit_logit(rows, FEATURES, "l_returnflag")
+    forest = models.fit_forest(rows, FEATURES, "l_returnflag")
     return models.importance(spark, linear).withColumn("model", F.lit("linear")).unionByName(
         models.importance(spark, forest).withColumn("model", F.lit("forest")))
 
 
 @check()
 def compare_models(spark, sf):
-    """All five algorithms on two folds, then the report over the folds."""
+    """All five algorithms on five folds, then the report over the folds."""
     scores = models.compare_models(
         returned(with_holes(spark, sf)).select("returned", *TIES), FEATURES, "returned",
-        F.col("l_orderkey"), TIES, folds=2,
-        fits=models.algorithms(trees=3, plain=True, iterations=20))
+        F.col("l_orderkey"), TIES, fits=models.algorithms(plain=True))
     return models.cv_report(materialise(scores), trees="trees")
 
 
@@ -278,4 +277,4 @@ def payoffs(spark, sf):
 @check()
 def payoff_scenarios(spark, sf):
     return pay.payoff_scenarios(
-        fixture.tracking(spark, sf), fixture.double_labels(spark, sf), trees=5, forest=10)
+        fixture.tracking(spark, sf), fixture.double_labels(spark, sf))

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from leadline.functions.scalars import title_label
 from leadline.operators.ranking import medians, roc_auc, roc_auc_ovr, stratified_folds
 from leadline.operators.relational import spread_join
-from leadline.session import materialise
+from leadline.session import materialise, shared_dir
 
-# Folds, trees and patience of the full runs.
+# Folds and trees of the full runs; forests grow as deep as Spark lets them.
 FOLDS = 5
 TREES = 1000
+FOREST_DEPTH = 30
 
 
 # -- data work ---------------------------------------------------------------------
@@ -208,8 +209,8 @@ def fit_logit(df: DataFrame, features, label: str, l1: bool = False,
     return fitted
 
 
-def fit_forest(df: DataFrame, features, label: str, trees: int = TREES, depth: int = 5,
-               seed: int = 0) -> Fitted:
+def fit_forest(df: DataFrame, features, label: str, trees: int = TREES,
+               depth: int = FOREST_DEPTH, seed: int = 0) -> Fitted:
     """Random forest with balanced classes."""
     rows, fitted, _ = _training(df, features, label, "balanced", scaled=False)
     if len(fitted.classes) > 1:
@@ -225,8 +226,11 @@ def fit_boost(df: DataFrame, features, label: str, trees: int = TREES, depth: in
     """Gradient boosted trees; more than two classes are fitted one against the rest.
 
     ``validation`` names a boolean column: its rows are not trained on and stop the
-    boosting once the gain on them falls below ``tolerance``.
+    boosting once the gain on them falls below ``tolerance``. Rounds are cut off from their
+    predecessors by checkpoints in the shared folder; a thousand would overflow the stack.
     """
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     train = df if validation is None else df.where(~F.col(validation))
     train = train.where(F.col(label).isNotNull())
     two = class_sizes(train, label).count() == 2

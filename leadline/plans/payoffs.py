@@ -11,7 +11,7 @@ from leadline.operators.ranking import medians
 from leadline.operators.relational import overlay_labels
 from leadline.plans.balls_in_play import BIP_FEATURES, bip_set, training_rows
 from leadline.plans.leads import KINEMATIC, lead_profile, lead_scenarios
-from leadline.plans.models import Fitted, chance, fit_boost, fit_forest, fit_logit
+from leadline.plans.models import TREES, Fitted, chance, fit_boost, fit_forest, fit_logit
 from leadline.plans.people import pop_time, sprint_speed
 from leadline.plans.pickoffs import pickoff_set
 from leadline.plans.steals import STEAL_FEATURES, steal_set
@@ -96,8 +96,8 @@ class OutcomeModels:
 
 
 def fit_outcomes(pickoffs: DataFrame, steals: DataFrame, bip: DataFrame,
-                 doubles: DataFrame | None = None, trees: int = 100,
-                 forest: int = 100) -> OutcomeModels:
+                 doubles: DataFrame | None = None, trees: int = TREES,
+                 forest: int = TREES) -> OutcomeModels:
     """The chosen model of each outcome; give stored sets.
 
     Pickoffs and steals are boosted, outs are L1 logistic, singles L2, doubles a forest.
@@ -149,8 +149,8 @@ def example_leads(sets: dict, speed: float, pop: float) -> DataFrame:
     return F.broadcast(named).join(quantiles, ["source", "share"])
 
 
-def payoff_scenarios(t: Tracking, double_labels: DataFrame | None = None, trees: int = 100,
-                     forest: int = 100) -> DataFrame:
+def payoff_scenarios(t: Tracking, double_labels: DataFrame | None = None, trees: int = TREES,
+                     forest: int = TREES) -> DataFrame:
     """Payoffs of the worked examples, from tracking tables to run values.
 
     ``double_labels`` (play keys, base_state) tells doubles on which the runner scored
