@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadline.llm import exactdup, infill, resampling
 from leadline.llm.fingerprints import fingerprints
 from leadline.llm.langid import languages
 from leadline.llm.neardup import near_duplicates
@@ -90,3 +92,28 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    rows = infill.fill_in_middle(
+        table(spark, sf, "documents").select("doc_id", "text"), verify=True)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), "restored_sha256")
+
+
+@query
+def op12_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of every row, unique ones too, is carried along; groups come by refinement."""
+    digest = F.sha2(exactdup.normalised(F.col("text")).cast("binary"), 256)
+    docs = table(spark, sf, "documents").select("doc_id", "text", digest.alias("text_sha256"))
+    return exactdup.exact_duplicates(docs, carry=["text_sha256"])
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLES |= {"op11_fill_in_middle": infill.ORACLE_SQL, "op12_exact_duplicates": exactdup.ORACLE_SQL,
+            "op13_importance_resampling": resampling.ORACLE_SQL}
