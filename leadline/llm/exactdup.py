@@ -54,8 +54,9 @@ def exact_duplicates(docs: DataFrame, carry=()) -> DataFrame:
     alone = narrow_join(short, keys.withColumn("_shared", F.lit(True)), "_prefix", total, "left").where(
         F.col("_shared").isNull())
 
-    # full texts of the rest
-    full = hot_join(rows.select("doc_id", "_carry", "text", "_prefix"), keys, "_prefix", short).select(
+    # full texts of the rest; they move to their keys at every size, whatever fits in a broadcast
+    full = hot_join(rows.select("doc_id", "_carry", "text", "_prefix"), keys, "_prefix", short,
+                    "shuffle_hash").select(
         "doc_id", "_carry", F.unhex(F.sha2(whole.cast("binary"), 256)).alias("_hash"),
         F.monotonically_increasing_id().alias("_row"))
     full = materialise(full)

@@ -10,13 +10,14 @@ HOT_KEYS = 2000      # a key is hot from this fraction of the rows on, so there
 
 
 def hot_join(big: DataFrame, small: DataFrame, on: str,
-             counted: DataFrame | None = None) -> DataFrame:
+             counted: DataFrame | None = None, how: str | None = None) -> DataFrame:
     """Inner join on one column; ``small`` has one row for each value of it.
 
     Keys of at least ``GROUP_ROWS`` rows and a ``HOT_KEYS``-th of ``big`` are dealt over
     shares of ``GROUP_ROWS`` rows by a hash of the row; only that list, at most ``HOT_KEYS``
     keys, is broadcast. All rows are kept; a null key matches nothing. ``counted`` is a stored
-    table with the rows of ``big`` or more, to count the keys in.
+    table with the rows of ``big`` or more, to count the keys in. ``how`` is a join hint for
+    the side of ``small``, such as "shuffle_hash"; without one Spark decides by size.
     """
     big = big.where(F.col(on).isNotNull())
     counted = big if counted is None else counted
@@ -32,8 +33,9 @@ def hot_join(big: DataFrame, small: DataFrame, on: str,
     copies = small.join(hot, F.col(on) == F.col("_key"), "left").withColumn(
         "_share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1))
     ).withColumn("_share", F.col("_share").cast("long"))
+    copies = copies.drop("_key", "_shares")
     return dealt.drop("_key", "_shares").join(
-        copies.drop("_key", "_shares"), [on, "_share"]).drop("_share")
+        copies.hint(how) if how else copies, [on, "_share"]).drop("_share")
 
 
 def parts(rows: int) -> int:
