@@ -1,7 +1,7 @@
 """Data work around models, fits, comparison and payoffs.
 
-Fits have no oracle: their numbers are Spark's own. They run on all of ``lineitem`` with the
-trees, folds and iterations of the full runs.
+Fits run with the trees, folds, patience and iterations of the full runs: logistic ones and
+boosting on all of ``lineitem``, comparisons and forests on the outcome sets.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from leadline.checks import fixture
 from leadline.checks.generic import table
 from leadline.checks.registry import check
+from leadline.checks.tracking import sql as tracking_sql
+from leadline.functions.codes import PLAY
 from leadline.operators import ranking
-from leadline.plans import models, payoffs as pay
+from leadline.plans import models, outcomes, payoffs as pay
 from leadline.session import materialise
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -146,89 +148,265 @@ def cv_report(spark, sf):
 
 
 # -- fits ----------------------------------------------------------------------------
+#
+# The numbers of a fit are Spark's own, so the oracles state what holds for every right fit:
+# each row is scored once, its probabilities add up to one, an unpenalised intercept makes the
+# weighted probabilities of a class add up to the weighted rows of that class, and at the
+# optimum the gradient is the penalty's.
 
-def _scored(df, model, label):
-    """Mean probability of each class by true class; the probabilities add up to one."""
-    rows = models.score(df, model)
-    return rows.groupBy(F.col(label).cast("string").alias("label")).agg(
-        F.count("*").alias("n"),
-        *[F.avg(f"p_{c}").alias(f"p_{c}") for c in model.classes])
+def _flags(spark, sf):
+    return with_holes(spark, sf).select(*LINE, "l_returnflag", *FEATURES)
 
 
 def _binary(spark, sf):
-    return returned(with_holes(spark, sf)).select("returned", *FEATURES)
+    return returned(with_holes(spark, sf)).select(*LINE, "returned", *FEATURES)
 
 
-def _flags(spark, sf):
-    return with_holes(spark, sf).select("l_returnflag", *FEATURES)
+def _totals(rows, model, keys=LINE):
+    """The keys and the sum of the probabilities of each row."""
+    whole = sum((F.col(f"p_{c}") for c in model.classes[1:]), F.col(f"p_{model.classes[0]}"))
+    return models.score(rows, model).select(*keys, F.round(whole, 9).alias("total"))
 
 
-@check()
-def fit_logit_l1(spark, sf):
-    rows = _binary(spark, sf)
-    return _scored(rows, models.fit_logit(rows, FEATURES, "returned", l1=True), "returned")
+def _gradient(rows, model, label):
+    """(class, term, slope): derivative of the weighted log loss of an L2 fit, with its penalty.
 
+    Terms are the intercept and the features, as the fit sees them: filled and standardised.
+    """
+    fit, n = model.models[0], rows.count()
+    two = len(model.classes) == 2
+    weights = models.class_weights(rows, label)
+    scored = models.standardise(models.fill_medians(
+        models.score(weights, model), model.medians), model.scale)
+    table = []
+    for row, c in enumerate(model.classes[1:] if two else model.classes):
+        miss = F.col("weight") * (F.col(f"p_{c}") - (F.col(label) == F.lit(c)).cast("double")) / n
+        beta = fit.coefficientMatrix.toArray()[row]
+        terms = [("intercept", F.lit(1.0), 0.0)] + [
+            (f, F.col(f), float(v)) for f, v in zip(model.features, beta)]
+        table += [(str(c), name, F.sum(miss * x) + F.lit(v / n)) for name, x, v in terms]
+    sums = scored.agg(*[v.alias(f"t{i}") for i, (_, _, v) in enumerate(table)])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("class"), F.lit(name).alias("term"),
+                 F.abs(F.col(f"t{i}")).alias("slope")) for i, (c, name, _) in enumerate(table)])))
 
-@check()
+
+_TERMS = "unnest(['intercept', 'l_quantity', 'l_discount', 'l_tax']) AS term"
+
+
+@check(f"SELECT '1' AS class, {_TERMS}, false AS steep")
 def fit_logit_l2(spark, sf):
-    rows = _binary(spark, sf)
-    return _scored(rows, models.fit_logit(rows, FEATURES, "returned"), "returned")
+    """At the optimum of the L2 fit the gradient vanishes (to 1e-4 of the mean loss)."""
+    rows = materialise(_binary(spark, sf))
+    model = models.fit_logit(rows, FEATURES, "returned")
+    return _gradient(rows, model, "returned").select(
+        "class", "term", (F.col("slope") > 1e-4).alias("steep"))
 
 
-@check()
+@check(f"SELECT class, {_TERMS}, false AS steep FROM (SELECT DISTINCT l_returnflag AS class FROM lineitem)")
 def fit_logit_multi(spark, sf):
-    rows = _flags(spark, sf)
-    whole = _scored(rows, models.fit_logit(rows, FEATURES, "l_returnflag"), "l_returnflag")
-    each = _scored(rows, models.fit_logit(rows, FEATURES, "l_returnflag", True, each_class=True),
-                   "l_returnflag")
-    return whole.withColumn("form", F.lit("multinomial")).unionByName(
-        each.withColumn("form", F.lit("each_class")))
+    """As ``fit_logit_l2``, for one fit over three classes."""
+    rows = materialise(_flags(spark, sf))
+    model = models.fit_logit(rows, FEATURES, "l_returnflag")
+    return _gradient(rows, model, "l_returnflag").select(
+        "class", "term", (F.col("slope") > 1e-4).alias("steep"))
 
 
-@check()
-def fit_forest(spark, sf):
-    rows = _flags(spark, sf)
-    return _scored(rows, models.fit_forest(rows, FEATURES, "l_returnflag"), "l_returnflag")
+@check(f"SELECT '1' AS class, {_TERMS}, false AS beyond")
+def fit_logit_l1(spark, sf):
+    """No slope exceeds the L1 penalty, and the intercept has none."""
+    rows = materialise(_binary(spark, sf))
+    model = models.fit_logit(rows, FEATURES, "returned", l1=True)
+    n = rows.count()
+    slopes = _gradient(rows, model, "returned")
+    # _gradient adds the L2 penalty v / n, which is small beside 1 / n times the sign
+    allowed = F.when(F.col("term") == "intercept", 1e-4).otherwise(
+        (1 + float(abs(model.models[0].coefficientMatrix.toArray()).max())) / n + 1e-4)
+    return slopes.select("class", "term", (F.col("slope") > allowed).alias("beyond"))
 
 
-@check()
+_TOTALS = f"SELECT {', '.join(LINE)}, 1::DOUBLE AS total FROM lineitem"
+
+
+@check(_TOTALS)
 def fit_boost(spark, sf):
-    rows = ranking.stratified_folds(
-        returned(with_holes(spark, sf)), "returned", 5, F.col("l_orderkey"), TIES)
-    rows = rows.withColumn("held", F.col("fold") == 0).select("returned", "held", *FEATURES)
-    model = models.fit_boost(rows, FEATURES, "returned", validation="held")
-    return _scored(rows, model, "returned").withColumn("trees", F.lit(model.trees))
+    """Two classes; a fold stops the boosting."""
+    rows = materialise(ranking.stratified_folds(
+        returned(with_holes(spark, sf)), "returned", 5, F.col("l_orderkey"), TIES).withColumn(
+        "held", F.col("fold") == 0).select(*LINE, "returned", "held", *FEATURES))
+    return materialise(_totals(rows, models.fit_boost(rows, FEATURES, "returned", validation="held")))
 
 
-@check()
+@check(_TOTALS)
 def fit_boost_multi(spark, sf):
-    rows = _flags(spark, sf)
-    return _scored(rows, models.fit_boost(rows, FEATURES, "l_returnflag"), "l_returnflag")
+    """Three classes in one run; a fold stops the boosting."""
+    rows = materialise(ranking.stratified_folds(
+        with_holes(spark, sf), "l_returnflag", 5, F.col("l_orderkey"), TIES).withColumn(
+        "held", F.col("fold") == 0).select(*LINE, "l_returnflag", "held", *FEATURES))
+    return materialise(_totals(
+        rows, models.fit_boost(rows, FEATURES, "l_returnflag", validation="held")))
 
 
-@check()
+@check(_TOTALS)
 def score(spark, sf):
     rows = _flags(spark, sf)
-    model = models.fit_logit(rows, FEATURES, "l_returnflag")
-    return models.score(with_holes(spark, sf).select(*LINE, "l_returnflag", *FEATURES), model)
+    return _totals(rows, models.fit_logit(rows, FEATURES, "l_returnflag"))
+
+
+# -- outcome sets ----------------------------------------------------------------------
+
+def game_key():
+    return F.expr("cast(substring(game_str, 2) AS bigint) * 1000 + play_id")
+
+
+# The rows and labels of each set as DuckDB text, with the tables they need.
+_HITS = "SELECT game_str, play_id, base_state AS label, {f} FROM hits WHERE batter_result = '{r}'"
+_BIP = ", ".join(outcomes.BIP_FEATURES)
+SETS = {
+    "pickoffs": (f"""SELECT j.game_str, j.play_id, j.pickoff_result AS label, k.l0 AS lead_distance,
+        k.v0 AS velocity, k.a0 AS acceleration, k.j0 AS jerk, s.sprint_speed FROM judged j
+        JOIN at_pickoff k ON k.game_str = j.game_str AND k.play_id = j.play_id
+        LEFT JOIN speeds s ON s.runner_id = j.runner_id WHERE j.pickoff_result <> -1""",
+        ("judged", "at_pickoff", "speeds")),
+    "steals": ("""SELECT e.game_str, e.play_id, e.outcome AS label, s.sprint_speed,
+        p.average_pop_time, k.l0 AS lead_distance, k.v0 AS velocity, k.a0 AS acceleration
+        FROM ended e JOIN at_pitch k ON k.game_str = e.game_str AND k.play_id = e.play_id
+        LEFT JOIN speeds s ON s.runner_id = e.runner_id
+        LEFT JOIN pops p ON p.catcher_id = e.catcher_id WHERE k.l0 IS NOT NULL
+            AND (s.sprint_speed IS NOT NULL OR p.average_pop_time IS NOT NULL)""",
+        ("ended", "at_pitch", "speeds", "pops")),
+    "outs": (_HITS.format(f=_BIP, r="Out") + " AND base_state NOT IN ('110', '101', '011')", ("hits",)),
+    "singles": (_HITS.format(f=_BIP, r="1B"), ("hits",)),
+    "doubles": (f"""SELECT h.game_str, h.play_id, d.base_state AS label, {_BIP} FROM hits h
+        JOIN labels_2b d ON d.game_str = h.game_str AND d.play_id = h.play_id
+        WHERE batter_result = '2B' AND d.base_state IS NOT NULL""", ("hits", "labels_2b")),
+}
+
+_COMPARED: dict = {}
+
+
+def _sets(spark, sf, *names):
+    return outcomes.outcome_sets(fixture.tracking(spark, sf), fixture.double_labels(spark, sf), names)
+
+
+def _compared(spark, sf, name):
+    """(aucs, scores) of one set, stored; computed once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _COMPARED:
+        aucs, scores = outcomes.compare(_sets(spark, sf, name)[name], game_key())
+        _COMPARED[key] = materialise(aucs), materialise(scores)
+    return _COMPARED[key]
+
+
+def _folds_sql(name):
+    rows, need = SETS[name]
+    return tracking_sql(f"""SELECT a.algorithm, f.fold, f.game_str, f.play_id,
+        f.label::VARCHAR AS label, 1::DOUBLE AS total
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY
+            ((substr(game_str, 2)::BIGINT * 1000 + play_id) % 1000003 * 7919) % 1000003,
+            game_str, play_id) - 1) % 5 AS INTEGER) AS fold FROM ({rows})) f,
+        (SELECT unnest({['boost', 'forest', 'lasso', 'ridge'] + ['logit'] * (name == 'steals')})
+            AS algorithm) a""", *need)
+
+
+def _register(name):
+    """Two queries for a set: the AUC of every fit and fold, and the rows they were scored on."""
+
+    def comparison(spark, sf):
+        return _compared(spark, sf, name)[0].select("algorithm", "fold", "auc", "trees")
+
+    def rows(spark, sf):
+        scores = _compared(spark, sf, name)[1]
+        chances = [F.col(f"`{c}`") for c in scores.columns if c.startswith("p_")]
+        return scores.select(
+            "algorithm", "fold", *PLAY, F.col("label").cast("string").alias("label"),
+            F.round(sum(chances[1:], chances[0]), 9).alias("total"))
+
+    check(name=f"compare_{name}")(comparison)
+    check(_folds_sql(name), name=f"scored_{name}")(rows)
+
+
+for _name in SETS:
+    _register(_name)
+
+
+def _design_sql(name):
+    """One row per fold and play: medians, weights and index as the fits get them."""
+    rows, need = SETS[name]
+    features = {"steals": outcomes.STEAL_FEATURES, "outs": outcomes.BIP_FEATURES}[name]
+    filled = ", ".join(f"round(coalesce({c}, (SELECT median(t.{c}) FROM train t WHERE t.fold = e.fold)), 6)"
+                       f" AS {c}" for c in features)
+    return tracking_sql(f""", own AS (
+        SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY
+            ((substr(game_str, 2)::BIGINT * 1000 + play_id) % 1000003 * 7919) % 1000003,
+            game_str, play_id) - 1) % 5 AS INTEGER) AS mine FROM ({rows})),
+    every AS (SELECT own.*, f.fold, own.mine = f.fold AS val,
+        CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS index
+        FROM own, (SELECT unnest(range(5))::INTEGER AS fold) f),
+    train AS (SELECT * FROM every WHERE NOT val),
+    sizes AS (SELECT fold, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) AS whole,
+        count(*) OVER (PARTITION BY fold) AS classes FROM train GROUP BY fold, label)
+    SELECT e.fold, e.val, e.game_str, e.play_id, e.index,
+        round(s.whole / (s.classes * s.n)::DOUBLE, 6) AS balanced,
+        round(CASE WHEN s.classes = 2 AND e.index = 1 THEN (s.whole - s.n) / s.n::DOUBLE ELSE 1 END, 6)
+            AS positive, {filled}
+    FROM every e JOIN sizes s ON s.fold = e.fold AND s.label = e.label""", *need)
+
+
+def _design(spark, sf, name):
+    of = _sets(spark, sf, name)[name]
+    rows = of.design(game_key()).rows
+    return rows.select("fold", "val", "id.*", "index", *[
+        F.round(c, 6).alias(c) for c in ("balanced", "positive", *of.features)])
+
+
+@check(_design_sql("steals"))
+def design_steals(spark, sf):
+    """The stored table that all fits of a comparison read, two classes."""
+    return _design(spark, sf, "steals")
+
+
+@check(_design_sql("outs"))
+def design_outs(spark, sf):
+    """The same for more than two classes."""
+    return _design(spark, sf, "outs")
+
+
+@check(tracking_sql("SELECT game_str, play_id, 1::DOUBLE AS total FROM (" + SETS["doubles"][0] + ")",
+                    *SETS["doubles"][1]))
+def fit_forest(spark, sf):
+    """The whole forest, on the set that it is fitted to."""
+    of = _sets(spark, sf, "doubles")["doubles"]
+    return _totals(of.rows, models.fit_forest(of.rows, of.features, of.label), PLAY)
+
+
+@check("""SELECT unnest(['outs', 'singles', 'doubles']) AS model, 4::BIGINT AS features,
+    100::DOUBLE AS total, 0::BIGINT AS negative""")
+def importance_totals(spark, sf):
+    """Shares of the three reports: one per feature, none negative, 100 together."""
+    return _importances(spark, sf).groupBy("model").agg(
+        F.count_distinct("feature").alias("features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+def _importances(spark, sf):
+    sets = _sets(spark, sf, "outs", "singles", "doubles")
+    found = None
+    for name, of in sets.items():
+        if name == "doubles":
+            model = models.fit_forest(of.rows, of.features, of.label)
+        else:
+            model = models.fit_logit(of.rows, of.features, of.label, name == "outs", each_class=True)
+        rows = models.importance(spark, model).withColumn("model", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @check()
 def importance(spark, sf):
-    rows = _flags(spark, sf)
-    linear = models.fit_logit(rows, FEATURES, "l_returnflag")
-    forest = models.fit_forest(rows, FEATURES, "l_returnflag")
-    return models.importance(spark, linear).withColumn("model", F.lit("linear")).unionByName(
-        models.importance(spark, forest).withColumn("model", F.lit("forest")))
-
-
-@check()
-def compare_models(spark, sf):
-    """All five algorithms on five folds, then the report over the folds."""
-    scores = models.compare_models(
-        returned(with_holes(spark, sf)).select("returned", *TIES), FEATURES, "returned",
-        F.col("l_orderkey"), TIES, fits=models.algorithms(plain=True))
-    return models.cv_report(materialise(scores), trees="trees")
+    """Outs by an L1 fit, singles by an L2 fit, doubles by the forest."""
+    return _importances(spark, sf)
 
 
 # -- payoffs -------------------------------------------------------------------------

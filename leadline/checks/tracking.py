@@ -45,6 +45,19 @@ def _kin(otherwise):
         FROM (SELECT *, {v} FROM samples))"""
 
 
+def _kin_mid(table):
+    return f"""
+        SELECT *, (a0 - a1) / nullif((t0 + t1) / 2.0::DOUBLE - (t1 + t2) / 2.0::DOUBLE, 0) * 1000 AS j0
+        FROM (
+            SELECT *,
+                (v0 - v1) / nullif((t0 + t1) / 2.0::DOUBLE - (t1 + t2) / 2.0::DOUBLE, 0) * 1000 AS a0,
+                (v1 - v2) / nullif((t1 + t2) / 2.0::DOUBLE - (t2 + t3) / 2.0::DOUBLE, 0) * 1000 AS a1
+            FROM (SELECT *, (l0 - l1) / nullif(t0 - t1, 0) * 1000 AS v0,
+                (l1 - l2) / nullif(t1 - t2, 0) * 1000 AS v1,
+                (l2 - l3) / nullif(t2 - t3, 0) * 1000 AS v2
+                FROM {table} WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL))"""
+
+
 def _moment(kin, at, ties, extra="release", need=""):
     order = {"early": "ASC", "late": "DESC"}[ties]
     return f"""
@@ -74,16 +87,7 @@ MORE = {
         for i, s in enumerate(["", "1", "2", "3"])) + " FROM back"),
     "kin": (("samples",), _kin("NULL")),
     "kin_zero": (("samples",), _kin("0")),
-    "kin_mid": (("samples",), """
-        SELECT *, (a0 - a1) / nullif((t0 + t1) / 2.0::DOUBLE - (t1 + t2) / 2.0::DOUBLE, 0) * 1000 AS j0
-        FROM (
-            SELECT *,
-                (v0 - v1) / nullif((t0 + t1) / 2.0::DOUBLE - (t1 + t2) / 2.0::DOUBLE, 0) * 1000 AS a0,
-                (v1 - v2) / nullif((t1 + t2) / 2.0::DOUBLE - (t2 + t3) / 2.0::DOUBLE, 0) * 1000 AS a1
-            FROM (SELECT *, (l0 - l1) / nullif(t0 - t1, 0) * 1000 AS v0,
-                (l1 - l2) / nullif(t1 - t2, 0) * 1000 AS v1,
-                (l2 - l3) / nullif(t2 - t3, 0) * 1000 AS v2
-                FROM samples WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL))"""),
+    "kin_mid": (("samples",), _kin_mid("samples")),
     "who": (("gi",), """
         SELECT DISTINCT game_str, play_per_game AS play_id, s.pos, s.id AS runner_id FROM (
             SELECT game_str, play_per_game, unnest([{'pos': 11, 'id': first_baserunner},
@@ -221,11 +225,9 @@ MORE = {
     # the nearest frame is chosen before frames without look-back are dropped
     "chosen": (("aims", "samples"), _moment("samples", "aim", "early", "aims").replace(
         "k.*", "k.*, play_type")),
-    "profile": (("chosen", "kin_mid"), """
-        SELECT c.game_str, c.play_id, c.play_type, k.l0 AS lead_distance, k.v0 AS velocity,
-            k.a0 AS acceleration, k.j0 AS jerk
-        FROM chosen c JOIN kin_mid k
-            ON k.game_str = c.game_str AND k.play_id = c.play_id AND k.t0 = c.t0"""),
+    "profile": (("chosen",), f"""
+        SELECT game_str, play_id, play_type, l0 AS lead_distance, v0 AS velocity,
+            a0 AS acceleration, j0 AS jerk FROM ({_kin_mid('chosen')})"""),
 }
 
 

@@ -32,14 +32,16 @@ def offset_in_chunk(time: str, width: int) -> Column:
 def spread(df: DataFrame, time: str, width: int, halo: int) -> DataFrame:
     """Add the chunk, and a copy of the last ``halo`` units for the next chunk.
 
-    ``_own`` is true for a row in its own chunk; drop the others after the window.
+    ``_own`` is true for a row in its own chunk; drop the others after the window. Rows
+    without a time stay, in a chunk that is null.
     """
     if halo > width:
         raise ValueError(f"chunk width {width} is shorter than the look-back {halo}")
     own = chunk_of(time, width)
     late = offset_in_chunk(time, width) >= F.lit(width - halo)
     homes = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn(CHUNK, F.explode(homes)).withColumn(OWN, F.col(CHUNK) == own)
+    return df.withColumn(CHUNK, F.explode(homes)).withColumn(
+        OWN, F.col(CHUNK).eqNullSafe(own))
 
 
 def own_rows(df: DataFrame) -> DataFrame:

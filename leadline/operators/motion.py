@@ -11,13 +11,15 @@ from leadline.operators.chunks import CHUNK, OWN, own_rows, spread
 STEP, SPEED, COVERED = "step", "speed", "covered"
 
 
-def drop_same_instant(chunked: DataFrame, part, time: str, x: str, y: str) -> DataFrame:
-    """Within chunks, keep the smallest (x, y) per instant; no shuffle of its own."""
-    w = Window.partitionBy(*part, CHUNK).orderBy(time, x, y)
-    return (
-        chunked.withColumn("_t", F.lag(time).over(w))
-        .where(F.col("_t").isNull() | (F.col("_t") != F.col(time))).drop("_t")
-    )
+def one_place(df: DataFrame, part, time: str, x: str, y: str, width: int, span: int) -> DataFrame:
+    """Chunked rows with the smallest (x, y) per instant; rows without a time are left out.
+
+    The rows move once, to their (track, chunk): copies collapse there, and the windows and
+    sums per chunk that follow find the partitioning they need.
+    """
+    rows = spread(df.select(*part, time, x, y).where(F.col(time).isNotNull()), time, width, span)
+    return rows.repartition(*part, CHUNK).groupBy(*part, CHUNK, OWN, time).agg(
+        F.min(F.struct(x, y)).alias("_p")).select(*part, CHUNK, OWN, time, "_p.*")
 
 
 def with_motion(chunked: DataFrame, part, time: str, x: str, y: str, span: int) -> DataFrame:
@@ -63,19 +65,14 @@ def trajectories(moving: DataFrame, part, time: str, x: str, y: str, **measures)
         F.sum(total).alias("path"), *[F.max(n).alias(n) for n in measures])
 
 
-def _prepared(df, part, time, x, y, width, span):
-    rows = df.select(*part, time, x, y).distinct()
-    return drop_same_instant(spread(rows, time, width, span), part, time, x, y)
-
-
 def trailing_speed(df: DataFrame, part, time: str, x: str, y: str, span: int,
                    width: int) -> DataFrame:
     """(part, time, x, y) with ``speed`` and ``covered``, one row per instant."""
-    moving = with_motion(_prepared(df, part, time, x, y, width, span), part, time, x, y, span)
-    return own_rows(moving.drop(STEP))
+    moving = with_motion(one_place(df, part, time, x, y, width, span), part, time, x, y, span)
+    return own_rows(moving.drop(STEP)).select(*part, time, x, y, SPEED, COVERED)
 
 
 def path_length(df: DataFrame, part, time: str, x: str, y: str, width: int) -> DataFrame:
     """(part, path): length of each trajectory."""
-    moving = with_motion(_prepared(df, part, time, x, y, width, 0), part, time, x, y, 0)
+    moving = with_motion(one_place(df, part, time, x, y, width, 0), part, time, x, y, 0)
     return trajectories(moving, part, time, x, y)

@@ -18,12 +18,23 @@ from pyspark.sql import functions as F
 from leadline.operators.relational import null_safe_join, spread_join
 from leadline.session import materialise
 
-RANGES = 256
+RANGE_ROWS = 200_000        # rows of a range that is sorted in one task
+FEWEST, MOST_RANGES = 16, 50_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def with_ranges(df: DataFrame, columns, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range_<c>`` for numeric columns; one sketch job for all of them."""
+def ranges_for(rows: int) -> int:
+    """Ranges that hold about ``RANGE_ROWS`` rows each, up to 50,000: beyond ten thousand million
+    rows a range grows, but it is sorted as counted distinct values, and sorting spills."""
+    return min(MOST_RANGES, max(FEWEST, -(-rows // RANGE_ROWS)))
+
+
+def with_ranges(df: DataFrame, columns, ranges: int | None = None) -> DataFrame:
+    """Add ``_range_<c>`` for numeric columns; one sketch job for all of them.
+
+    The number of ranges follows the number of rows unless it is given.
+    """
+    ranges = ranges_for(df.count()) if ranges is None else ranges
     shares = [i / ranges for i in range(1, ranges)]
     cuts = df.approxQuantile(list(columns), shares, 0.5 / ranges) if shares else [[]] * len(columns)
     inf = float("inf")
@@ -34,7 +45,7 @@ def with_ranges(df: DataFrame, columns, ranges: int = RANGES) -> DataFrame:
         splitsArray=splits, handleInvalid="keep").transform(df)
 
 
-def long_form(df: DataFrame, columns, group=(), ranges: int = RANGES) -> DataFrame:
+def long_form(df: DataFrame, columns, group=(), ranges: int | None = None) -> DataFrame:
     """One row (group, feature, value, _range) per non-null value of ``columns``."""
     doubles = df.select(*group, *[F.col(c).cast("double").alias(c) for c in columns])
     cut = with_ranges(doubles, columns, ranges)
@@ -49,7 +60,7 @@ def long_form(df: DataFrame, columns, group=(), ranges: int = RANGES) -> DataFra
 def _range_offsets(cells: DataFrame, group, counts) -> DataFrame:
     """Per (group, range): ``<c>_before`` rows in smaller ranges, ``<c>_all`` in the group.
 
-    At most RANGES rows per group go through these windows.
+    At most one row per range goes through these windows for each group.
     """
     w = Window.partitionBy(*group)
     totals = cells.groupBy(*group, "_range").agg(*[F.sum(c).alias(c) for c in counts])
@@ -60,7 +71,7 @@ def _range_offsets(cells: DataFrame, group, counts) -> DataFrame:
     })
 
 
-def quantile_table(df: DataFrame, columns, shares, group=(), ranges: int = RANGES) -> DataFrame:
+def quantile_table(df: DataFrame, columns, shares, group=(), ranges: int | None = None) -> DataFrame:
     """Exact interpolated percentiles as rows (group, feature, n, share, value).
 
     Three passes: sketch, counts per range, and the values of just those ranges that
@@ -112,19 +123,19 @@ def quantile_table(df: DataFrame, columns, shares, group=(), ranges: int = RANGE
 
 
 def percentile(df: DataFrame, column: str, share: float, group=(),
-               ranges: int = RANGES) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """(group, n, value) for one exact percentile of one column."""
     return quantile_table(df, [column], [share], group, ranges).drop("feature", "share")
 
 
-def medians(df: DataFrame, columns, ranges: int = RANGES) -> dict:
+def medians(df: DataFrame, columns, ranges: int | None = None) -> dict:
     """Exact medians on the driver: one number per column, None where all is null."""
     found = quantile_table(df, columns, [0.5], ranges=ranges).collect()
     return {c: None for c in columns} | {r["feature"]: r["value"] for r in found}
 
 
 def running_counts(df: DataFrame, value: str, counts: dict, group=(),
-                   ranges: int = RANGES) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Per (group, distinct value): each count, ``<c>_below`` and ``<c>_all``.
 
     ``counts`` maps names to aggregate columns, such as a count or a sum of flags.
@@ -143,7 +154,7 @@ def running_counts(df: DataFrame, value: str, counts: dict, group=(),
         *[f"{c}_all" for c in counts])
 
 
-def rank_pct(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
+def rank_pct(df: DataFrame, column: str, name: str, ranges: int | None = None) -> DataFrame:
     """Add the percentile rank of a column, 0 to 100, ties averaged; null stays null.
 
     Values that make up more than a thousandth of the rows (so under a thousand of them)
@@ -164,7 +175,7 @@ def rank_pct(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> Dat
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, group=(), ranges: int = RANGES) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, group=(), ranges: int | None = None) -> DataFrame:
     """(group, auc) from 0/1 labels and scores, ties counted half.
 
     Null where a group has one class only.
@@ -177,7 +188,7 @@ def roc_auc(df: DataFrame, label: str, score: str, group=(), ranges: int = RANGE
 
 
 def roc_auc_ovr(df: DataFrame, label: str, scores: dict, group=(),
-                ranges: int = RANGES) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """(group, auc): each class against the rest, weighted by its number of rows.
 
     ``scores`` maps class to score column. A class that is missing or the only one has
@@ -199,16 +210,17 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: dict, group=(),
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, key: Column, ties, seed: int = 0,
-                     cells: int = 512) -> DataFrame:
+                     cells: int | None = None) -> DataFrame:
     """Add ``fold``: rows of each class dealt out in turn in a seeded order.
 
     The order is a hash of the integer ``key``, then ``ties``. The hash range is cut into
-    even cells; a row's number is the cell's offset in its class plus its number in the
-    cell, so a large class is numbered by many tasks. Rows without a label are dealt out
+    even cells, as many as the rows ask for; a row's number is the cell's offset in its class
+    plus its number in the cell, so a large class is numbered by many tasks. Rows without a label are dealt out
     like a class of their own.
     """
     # The hash is written in plain integer arithmetic to be portable.
     modulus = 1_000_003
+    cells = min(modulus, ranges_for(df.count())) if cells is None else cells
     hashed = F.pmod(F.pmod(key.cast("bigint"), F.lit(modulus)) * 7919 + seed * 104729,
                     F.lit(modulus))  # reduced first, so that no key overflows
     rows = df.withColumn("_h", hashed).withColumn(

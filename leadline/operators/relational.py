@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000   # rows up to which a counted side is broadcast
+BROADCAST_ROWS = 200_000   # rows and bytes up to which a counted side is broadcast
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 0.001          # a key above this share of all rows is salted
 SALTS = 64                 # tasks a hot key is spread over
 
@@ -23,16 +24,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return left.join(other, same, how).drop(*[f"_of_{c}" for c in keys])
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Is ``df`` within the bounds of a broadcast? One pass over ``rows`` + 1 rows at most.
+
+    The size is that of the rows as JSON text, which is more than they take in a broadcast for
+    all but short numbers.
+    """
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, weight = df.limit(rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n <= rows and weight <= size
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
                 broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
                 null_safe: bool = False) -> DataFrame:
     """Join in which no key of ``big`` ends up in one task.
 
-    ``small`` is counted (a footer read for a stored table). Up to ``broadcast_rows`` it
-    is broadcast and ``big`` does not move. Beyond that both sides are shuffled, and the
+    ``small`` is measured. Up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is
+    broadcast and ``big`` does not move. Beyond that both sides are shuffled, and the
     hot keys of ``big`` get a salt: its rows are spread by a hash over all columns and
     the matching rows of ``small`` are repeated once per salt. There can be at most
-    1 / HOT_SHARE hot keys, so that list may be broadcast. Holds for inner, left,
+    1 / HOT_SHARE hot keys, so that list may be broadcast. Rows of ``big`` with a null in
+    the key match nothing (unless null equals null) and are dealt out by the same hash. Holds for inner, left,
     left_semi and left_anti; rows with the same key on ``small`` all match. With
     ``null_safe`` null equals null.
     """
@@ -41,7 +55,7 @@ def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
     def join(left, right, on, how):
         return null_safe_join(left, right, on, how) if null_safe else left.join(right, on, how)
 
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(small, broadcast_rows):
         return join(big, F.broadcast(small), keys, how)
 
     counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -49,8 +63,12 @@ def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
     hot = F.broadcast(counts.where(F.col("_n") > total).select(*keys, F.lit(True).alias("_hot")))
 
     salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    dealt = F.coalesce(F.col("_hot"), F.lit(False))
+    if not null_safe:
+        for c in keys:
+            dealt = dealt | F.col(c).isNull()
     salted = join(big, hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        "_salt", F.when(dealt, salt).otherwise(F.lit(0))).drop("_hot")
     repeated = join(small, hot, keys, "left").withColumn("_salt", F.explode(
         F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
         .otherwise(F.array(F.lit(0))))).drop("_hot")

@@ -2,9 +2,10 @@
 
 ``part`` names the entity columns. Null is an entity of its own for the trailing, previous and
 next operators, as in a window; for look-backs and as-of joins it matches nothing, as in a
-join by equal keys. ``time`` names an integer column that is not null,
-``width`` the chunk width (see ``chunks``). The trailing, previous and next operators
-expect one row per entity and time; ``one_per_instant`` gives that.
+join by equal keys. ``time`` names an integer column, ``width`` the chunk width (see ``chunks``).
+A row without a time stays and sees nothing: what is added to it is null, whatever the width.
+The trailing, previous and next operators expect one row per entity and time;
+``one_per_instant`` gives that.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def trailing_first(df: DataFrame, part, time: str, cols, span: int, width: int)
         found = asof(back, points, part, "_neg", firsts, width, null_keys=True)
         return found.select(*df.columns, *[F.col(f"asof.{c}").alias(c) for c in firsts])
     w = (Window.partitionBy(*part, CHUNK).orderBy(time).rangeBetween(-span, 0))
-    firsts = {f"first_{c}": F.first(c).over(w) for c in cols}
+    firsts = {f"first_{c}": F.when(F.col(time).isNotNull(), F.first(c).over(w)) for c in cols}
     return own_rows(spread(df, time, width, span).withColumns(firsts))
 
 
@@ -128,19 +129,14 @@ def lookback(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFr
     The struct holds ``time`` and ``cols``. Rows on the same instant go by the greatest
     ``cols``, in their order. One exchange and one sort serve all lags; what lies before
     the chunk and its halo comes from the chunk summary. Chunks narrower than the greatest
-    lag are for dense lines: every lag is then an as-of join of the shifted times. As in a
-    join by equal keys, a row whose entity is null sees no row, whatever the width.
+    lag are for dense lines: the shifted times of all lags then go through one as-of join. As
+    in a join by equal keys, a row whose entity is null sees no row, whatever the width.
     """
     halo = max(deltas)
-    point = F.struct(time, *cols)
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in part], F.lit(True))
     if width < halo:
-        points, rows = df.select(*part, time, *cols), df.withColumn("_t", F.col(time))
-        for d in deltas:
-            rows = asof(rows.withColumn(time, F.col("_t") - d), points, part, time, cols, width)
-            rows = rows.withColumnRenamed("asof", f"back_{d}")
-        return rows.withColumn(time, F.col("_t")).select(
-            *df.columns, *[f"back_{d}" for d in deltas])
+        return _lookback_dense(df, part, time, cols, deltas, width)
+    point = F.when(F.col(time).isNotNull(), F.struct(time, *cols))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*part, time)])
     w = Window.partitionBy(*part, CHUNK).orderBy(time)
     rows = spread(df, time, width, halo).withColumns({
         f"back_{d}": F.max(point).over(w.rangeBetween(FROM_START, -d)) for d in deltas
@@ -164,6 +160,25 @@ def lookback(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFr
     )
 
 
+def _lookback_dense(df: DataFrame, part, time: str, cols, deltas, width: int) -> DataFrame:
+    """``lookback`` by probes: every row asks once per lag, in one as-of join for all lags.
+
+    The answers of a row are brought together by a number it got before it was repeated; only
+    its first probe carries the row itself.
+    """
+    lags = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_lag"), (F.col(time) - d).alias("_t"))
+        for i, d in enumerate(deltas)]))
+    probes = df.withColumn("_id", F.monotonically_increasing_id()).select(
+        *part, "_id", F.struct(*df.columns).alias("_own"), lags.alias("_ask")).select(
+        *part, F.col("_ask._t").alias(time), "_id", F.col("_ask._lag").alias("_lag"),
+        F.when(F.col("_ask._lag") == 0, F.col("_own")).alias("_own"))
+    found = asof(probes, df.select(*part, time, *cols), part, time, cols, width)
+    return found.groupBy("_id").agg(F.first("_own", ignorenulls=True).alias("_own"), *[
+        F.max(F.when(F.col("_lag") == i, F.col("asof"))).alias(f"back_{d}")
+        for i, d in enumerate(deltas)]).select("_own.*", *[f"back_{d}" for d in deltas])
+
+
 def asof(left: DataFrame, right: DataFrame, keys, time: str, cols, width: int,
          null_keys: bool = False) -> DataFrame:
     """Add struct ``asof`` to ``left``: the last row of ``right`` at or before its time.

@@ -12,7 +12,7 @@ from leadline.functions.scalars import any_of, pad3, within
 from leadline.functions.states import base_reached, base_state, runner_on_first_only
 from leadline.operators.relational import attach_lookup, exclude, first_per, keep_keys, top1
 from leadline.operators.temporal import next_state
-from leadline.plans.moments import BEFORE_PITCH, XY, moment_before, release_time
+from leadline.plans.moments import BEFORE_PITCH, XY, moment_before, released
 from leadline.plans.people import sprint_speed
 from leadline.plans.pickoffs import plays_with
 from leadline.session import materialise
@@ -106,11 +106,12 @@ def bip_validated(t: Tracking, plays: DataFrame | None = None) -> DataFrame:
     return bip_end_positions(t, results).where((result == "Out") | there)
 
 
-def bip_set(t: Tracking, speeds: DataFrame | None = None) -> DataFrame:
+def bip_set(t: Tracking, speeds: DataFrame | None = None,
+            releases: DataFrame | None = None) -> DataFrame:
     """Validated results with the kinematics 1250 ms before release and sprint speed."""
     speeds = materialise(sprint_speed(t)) if speeds is None else speeds
     valid = materialise(bip_validated(t))
-    targets = release_time(t, valid.select(*PLAY).distinct()).withColumn(
+    targets = released(t, valid.select(*PLAY).distinct(), releases).withColumn(
         "at", F.col("release_timestamp") - BEFORE_PITCH)
     moments = moment_before(t, targets, ties="early", undefined="zero").select(
         *PLAY, "lead_distance", "velocity", "acceleration", "jerk")

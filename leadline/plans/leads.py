@@ -11,7 +11,7 @@ from leadline.operators.ranking import quantile_table
 from leadline.operators.relational import keep_keys
 from leadline.operators.temporal import attach_to_series, resample, sync_frames
 from leadline.plans.moments import (
-    BEFORE_PICKOFF, BEFORE_PITCH, CHUNK_MS, NARROW_ROWS, XY, moment_before, release_time,
+    BEFORE_PICKOFF, BEFORE_PITCH, CHUNK_MS, NARROW_ROWS, XY, moment_before, released,
 )
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
@@ -38,11 +38,11 @@ def play_type(t: Tracking, plays: DataFrame | None = None) -> DataFrame:
     return kinds if plays is None else keep_keys(kinds, plays, PLAY)
 
 
-def lead_profile(t: Tracking) -> DataFrame:
+def lead_profile(t: Tracking, releases: DataFrame | None = None) -> DataFrame:
     """(play, play_type, kinematics) of every play with a runner on first only."""
     kinds = materialise(play_type(t, single_runner_plays(t)))
     offset = F.when(F.col("play_type") == "pitch", BEFORE_PITCH).otherwise(BEFORE_PICKOFF)
-    targets = release_time(t, kinds).join(kinds, PLAY).withColumn(
+    targets = released(t, kinds, releases).join(kinds, PLAY).withColumn(
         "at", F.col("release_timestamp") - offset)
     return moment_before(t, targets, ties="early", form="midpoint").select(
         *PLAY, "play_type", *KINEMATIC)

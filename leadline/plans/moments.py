@@ -92,6 +92,11 @@ def release_time(t: Tracking, plays: DataFrame | None = None,
         .groupBy(*PLAY).agg(F.min("timestamp").alias("release_timestamp")))
 
 
+def released(t: Tracking, plays: DataFrame, releases: DataFrame | None = None) -> DataFrame:
+    """``release_time`` of the listed plays, out of a stored table of all plays if there is one."""
+    return release_time(t, plays) if releases is None else narrow(releases, plays)
+
+
 def kinematics(df: DataFrame, form: str = "endpoint", undefined: str = "null",
                base: tuple = FIRST_BASE) -> DataFrame:
     """Add lead distance, velocity, acceleration and jerk from ``near`` and ``back_<d>``.

@@ -8,18 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadline.operators.ranking import medians
-from leadline.operators.relational import overlay_labels
-from leadline.plans.balls_in_play import BIP_FEATURES, bip_set, training_rows
-from leadline.plans.leads import KINEMATIC, lead_profile, lead_scenarios
-from leadline.plans.models import TREES, Fitted, chance, fit_boost, fit_forest, fit_logit
-from leadline.plans.people import pop_time, sprint_speed
-from leadline.plans.pickoffs import pickoff_set
-from leadline.plans.steals import STEAL_FEATURES, steal_set
+from leadline.plans.leads import lead_profile, lead_scenarios
+from leadline.plans.models import (
+    PATIENCE, TREES, Fitted, best_rounds, chance, fit_boost, fit_forest, fit_logit, side_by_side,
+)
+from leadline.plans.outcomes import Measures, OutcomeSet, outcome_sets
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
 
-PICKOFF_FEATURES = [*KINEMATIC, "sprint_speed"]
-
 # Run expectancy of the states, by class name, and the weights of the terms.
 START = 0.836
 OUT_VALUES = {"000": 0.0961, "001": 0.829, "010": 0.536, "100": 0.307}
@@ -95,40 +91,49 @@ class OutcomeModels:
     doubles: Fitted
 
 
-def fit_outcomes(pickoffs: DataFrame, steals: DataFrame, bip: DataFrame,
-                 doubles: DataFrame | None = None, trees: int = TREES,
+def fit_tuned(of: OutcomeSet, trees: int = TREES, patience: int = PATIENCE) -> Fitted:
+    """Boosted on all rows, with the median of the folds' best numbers of rounds."""
+    return fit_boost(of.rows, of.features, of.label, best_rounds(of.design(), trees, patience))
+
+
+def fit_outcomes(sets: dict, trees: int = TREES, patience: int = PATIENCE,
                  forest: int = TREES) -> OutcomeModels:
-    """The chosen model of each outcome; give stored sets.
+    """The chosen model of each outcome; ``sets`` as ``outcome_sets`` gives them.
 
-    Pickoffs and steals are boosted, outs are L1 logistic, singles L2, doubles a forest.
-    ``doubles`` replaces the rows of that result, for when their labels come from a
-    table of their own.
+    Pickoffs and steals are boosted for as many rounds as cross-validation finds best, outs are
+    L1 logistic, singles L2, doubles a forest.
     """
-    two = training_rows(bip, "2B") if doubles is None else doubles
-    return OutcomeModels(
-        pickoff=fit_boost(pickoffs, PICKOFF_FEATURES, "pickoff_result", trees),
-        steal=fit_boost(steals, STEAL_FEATURES, "outcome", trees),
-        outs=fit_logit(training_rows(bip, "Out"), BIP_FEATURES, "base_state", True,
-                       each_class=True),
-        singles=fit_logit(training_rows(bip, "1B"), BIP_FEATURES, "base_state", False,
-                          each_class=True),
-        doubles=fit_forest(two, BIP_FEATURES, "base_state", forest),
-    )
 
+    def linear(name: str, l1: bool) -> Fitted:
+        of = sets[name]
+        return fit_logit(of.rows, of.features, of.label, l1, each_class=True)
 
-def payoff_table(leads: DataFrame, models: OutcomeModels, keep=()) -> DataFrame:
-    """Payoffs of every row of ``leads``: kinematics, sprint_speed, average_pop_time.
+    two = sets["doubles"]
+    fits = dict(
+        pickoff=lambda: fit_tuned(sets["pickoffs"], trees, patience),
+        steal=lambda: fit_tuned(sets["steals"], trees, patience),
+        outs=lambda: linear("outs", True), singles=lambda: linear("singles", False),
+        doubles=lambda: fit_forest(two.rows, two.features, two.label, forest))
+    return OutcomeModels(**side_by_side(two.rows.sparkSession, fits))
 
-    Each model scores every row once.
-    """
-    rows = leads
-    for name in ("pickoff", "steal", "outs", "singles", "doubles"):
-        rows = getattr(models, name).probabilities(rows, f"_{name}")
+
+NAMES = ("pickoff", "steal", "outs", "singles", "doubles")
+
+
+def with_chances(leads: DataFrame, models: OutcomeModels) -> DataFrame:
+    """``chances_pickoff`` and so on: class probabilities of the five models, each row scored once."""
+    for name in NAMES:
+        leads = getattr(models, name).probabilities(leads, f"chances_{name}")
+    return leads
+
+
+def payoff_table(leads: DataFrame, models: OutcomeModels, keep=()) -> DataFrame:
+    """Payoffs of every row of ``leads``: kinematics, sprint_speed, average_pop_time."""
     return payoffs(
-        rows, chance("_pickoff", 1), chance("_steal", 0),
-        {c: chance("_outs", c) for c in OUT_VALUES},
-        {c: chance("_singles", c) for c in SINGLE_VALUES},
-        {c: chance("_doubles", c) for c in DOUBLE_VALUES}, keep)
+        with_chances(leads, models), chance("chances_pickoff", 1), chance("chances_steal", 0),
+        {c: chance("chances_outs", c) for c in OUT_VALUES},
+        {c: chance("chances_singles", c) for c in SINGLE_VALUES},
+        {c: chance("chances_doubles", c) for c in DOUBLE_VALUES}, keep)
 
 
 def example_leads(sets: dict, speed: float, pop: float) -> DataFrame:
@@ -150,24 +155,17 @@ def example_leads(sets: dict, speed: float, pop: float) -> DataFrame:
 
 
 def payoff_scenarios(t: Tracking, double_labels: DataFrame | None = None, trees: int = TREES,
-                     forest: int = TREES) -> DataFrame:
+                     patience: int = PATIENCE, forest: int = TREES, keep=()) -> DataFrame:
     """Payoffs of the worked examples, from tracking tables to run values.
 
-    ``double_labels`` (play keys, base_state) tells doubles on which the runner scored
-    from those on which they were out; without it doubles keep their base state.
+    ``double_labels`` as for ``outcome_sets``. ``keep`` names more columns of the scored rows,
+    such as the maps of probabilities (``chances_pickoff``, ...).
     """
-    speeds, pops = materialise(sprint_speed(t)), materialise(pop_time(t))
-    steals = materialise(steal_set(t, speeds, pops))
-    pickoffs = materialise(pickoff_set(t, speeds))
-    bip = materialise(bip_set(t, speeds))
-    leads = materialise(lead_profile(t))
-    doubles = None
-    if double_labels is not None:
-        doubles = overlay_labels(training_rows(bip, "2B"), double_labels,
-                                 ["game_str", "play_id"], "base_state")
-    models = fit_outcomes(pickoffs, steals, bip, doubles, trees, forest)
+    own = Measures.of(t)
+    sets = outcome_sets(t, double_labels, measures=own)
+    models = fit_outcomes(sets, trees, patience, forest)
     usual = example_leads(
-        {"steals": steals, "leads": leads},
-        medians(speeds, ["sprint_speed"])["sprint_speed"] or 0.0,
-        medians(pops, ["average_pop_time"])["average_pop_time"] or 0.0)
-    return payoff_table(usual, models, ["example", "lead", "source", "share"])
+        {"steals": sets["steals"].rows, "leads": materialise(lead_profile(t, own.releases))},
+        medians(own.speeds, ["sprint_speed"])["sprint_speed"] or 0.0,
+        medians(own.pops, ["average_pop_time"])["average_pop_time"] or 0.0)
+    return payoff_table(usual, models, ["example", "lead", "source", "share", *keep])

@@ -9,8 +9,7 @@ from leadline.functions.codes import (
     ACQUIRED, CATCHER, MIDDLE_INFIELD, OCCUPANTS, PLAY, RUNNERS, THROW,
 )
 from leadline.functions.scalars import seconds
-from leadline.operators.chunks import spread
-from leadline.operators.motion import COVERED, SPEED, drop_same_instant, trajectories, with_motion
+from leadline.operators.motion import COVERED, SPEED, one_place, trajectories, with_motion
 from leadline.operators.ranking import percentile
 from leadline.operators.relational import min_sample, plausible
 from leadline.plans.moments import CHUNK_MS, XY
@@ -41,10 +40,8 @@ def runner_ids(t: Tracking) -> DataFrame:
 def top_speeds(t: Tracking) -> DataFrame:
     """(play, player_position, runner_id) with ``path`` and ``max_speed``."""
     track = [*PLAY, "player_position"]
-    frames = t.player_pos.where(F.col("player_position").isin(*RUNNERS)).select(
-        *track, "timestamp", *XY).distinct()
-    single = drop_same_instant(
-        spread(frames, "timestamp", CHUNK_MS, WINDOW_MS), track, "timestamp", *XY)
+    frames = t.player_pos.where(F.col("player_position").isin(*RUNNERS))
+    single = one_place(frames, track, "timestamp", *XY, CHUNK_MS, WINDOW_MS)
     moving = with_motion(single, track, "timestamp", *XY, WINDOW_MS)
     fast_enough = F.when(F.col(COVERED) >= LEAST_COVER_MS, F.col(SPEED))
     # a track is the same whoever ran it, so the person joins its one-row summary

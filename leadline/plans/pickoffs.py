@@ -10,7 +10,7 @@ from leadline.functions.scalars import any_of
 from leadline.functions.states import occupied, runner_on_first_only
 from leadline.operators.relational import attach_lookup, drop_keys
 from leadline.operators.temporal import next_state
-from leadline.plans.moments import BEFORE_PICKOFF, moment_before, release_time
+from leadline.plans.moments import BEFORE_PICKOFF, moment_before, released
 from leadline.plans.people import sprint_speed
 from leadline.session import materialise
 from leadline.sources.tracking import Tracking
@@ -44,11 +44,12 @@ def pickoff_label(t: Tracking, attempts: DataFrame) -> DataFrame:
         "pickoff_result", F.coalesce("next_result", F.lit(-1))).drop("next_result", "next_play_id")
 
 
-def pickoff_set(t: Tracking, speeds: DataFrame | None = None) -> DataFrame:
+def pickoff_set(t: Tracking, speeds: DataFrame | None = None,
+                releases: DataFrame | None = None) -> DataFrame:
     """Labelled attempts with the kinematics 725 ms before release and sprint speed."""
     speeds = materialise(sprint_speed(t)) if speeds is None else speeds
     labelled = materialise(pickoff_label(t, pickoff_attempts(t)).where("pickoff_result <> -1"))
-    targets = release_time(t, labelled).join(labelled, PLAY).withColumn(
+    targets = released(t, labelled, releases).join(labelled, PLAY).withColumn(
         "at", F.col("release_timestamp") - BEFORE_PICKOFF)
     moments = moment_before(t, targets, ties="early")
     return attach_lookup(

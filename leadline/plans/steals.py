@@ -12,7 +12,7 @@ from leadline.functions.scalars import distance, has_features
 from leadline.functions.states import empty, occupied, runner_on_first_only
 from leadline.operators.relational import attach_lookup, drop_keys, exists_flag, keep_keys
 from leadline.operators.temporal import next_state
-from leadline.plans.moments import BEFORE_PITCH, moment_before, release_time
+from leadline.plans.moments import BEFORE_PITCH, moment_before, released
 from leadline.plans.people import pop_time, sprint_speed
 from leadline.plans.pickoffs import plays_with
 from leadline.session import materialise
@@ -73,12 +73,12 @@ def steal_outcome(t: Tracking, candidates: DataFrame | None = None) -> DataFrame
 
 
 def steal_set(t: Tracking, speeds: DataFrame | None = None,
-              pops: DataFrame | None = None) -> DataFrame:
+              pops: DataFrame | None = None, releases: DataFrame | None = None) -> DataFrame:
     """Outcomes with the kinematics 1250 ms before release, sprint speed and pop time."""
     speeds = materialise(sprint_speed(t)) if speeds is None else speeds
     pops = materialise(pop_time(t)) if pops is None else pops
     outcomes = materialise(steal_outcome(t))
-    targets = release_time(t, outcomes).withColumn(
+    targets = released(t, outcomes, releases).withColumn(
         "at", F.col("release_timestamp") - BEFORE_PITCH)
     moments = moment_before(t, targets, ties="late").select(
         *PLAY, "lead_distance", "velocity", "acceleration", "jerk")

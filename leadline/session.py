@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,23 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replaced(spark: SparkSession, old: str, df: DataFrame, schema: str) -> tuple[str, DataFrame]:
+    """Write ``df``, which is made from the table at ``old``, and delete that table.
+
+    For loops that store a state of the same size again and again.
+    """
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(old)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return path, spark.read.schema(schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package; a cluster installs it or ships it."""
+    root, seen = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = seen.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        seen["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])

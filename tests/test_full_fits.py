@@ -2,39 +2,47 @@
 
 import pytest
 
+from leadline.checks import modelling
 from leadline.checks.all import QUERIES
 from leadline.plans import models
 
-SMALL = {"GBTClassifier": dict(maxIter=1, maxDepth=2),
-         "RandomForestClassifier": dict(numTrees=2, maxDepth=2),
-         "LogisticRegression": dict(maxIter=2)}
-TREES = {"GBTClassifier": {(1000, 5)}}
-FOREST = {"RandomForestClassifier": {(1000, 30)}}
-LINEAR = {"LogisticRegression": {(100, None)}}
+SMALL = {"RandomForestClassifier": dict(numTrees=2, maxDepth=2), "LogisticRegression": dict(maxIter=2)}
+FOREST = ("RandomForestClassifier", 1000, 30)
+LINEAR = ("LogisticRegression", 100, None)
+BOOST = ("boost", 1000, 100)   # stopped by patience
+FINAL = ("boost", 1, None)     # the stand-in's best number of rounds
 
 
-@pytest.mark.parametrize("name, want, fits", [
-    ("fit_forest", FOREST, 1), ("fit_boost", TREES, 1), ("fit_boost_multi", TREES, 1),
-    ("score", LINEAR, 1), ("importance", LINEAR | FOREST, 2),
-    ("compare_models", TREES | FOREST | LINEAR, 25),
-    ("payoff_scenarios", TREES | FOREST | LINEAR, 5)])
-def test_settings_of_registered_fits(spark, monkeypatch, name, want, fits):
-    asked = []
+@pytest.mark.parametrize("name, want", [
+    ("fit_forest", {FOREST: 1}), ("fit_boost", {BOOST: 1}), ("fit_boost_multi", {BOOST: 1}),
+    ("score", {LINEAR: 1}), ("importance", {LINEAR: 4 + 3, FOREST: 1}),
+    ("compare_steals", {BOOST: 1, FOREST: 5, LINEAR: 15}),
+    ("compare_outs", {BOOST: 1, FOREST: 5, LINEAR: 5 * (4 + 1)}),
+    ("payoff_scenarios", {BOOST: 2, FINAL: 2, FOREST: 1, LINEAR: 4 + 3})])
+def test_settings_of_registered_fits(spark, monkeypatch, name, want):
+    asked = {}
+
+    def note(*what):
+        asked[what] = asked.get(what, 0) + 1
 
     def recording(kind):
         real = getattr(models, kind)
 
         def make(**settings):
-            size = settings.get("numTrees", settings.get("maxIter"))
-            asked.append((kind, (size, settings.get("maxDepth"))))
+            note(kind, settings.get("numTrees", settings.get("maxIter")), settings.get("maxDepth"))
             return real(**{**settings, **SMALL[kind]})
 
         return make
 
+    real = models.boost
+
+    def boost(rows, features, classes, rounds, depth=5, step=0.1, patience=None, **settings):
+        note("boost", rounds, patience)
+        return real(rows, features, classes, 1, 2, step, patience=patience, **settings)
+
     for kind in SMALL:
         monkeypatch.setattr(models, kind, recording(kind))
+    monkeypatch.setattr(models, "boost", boost)
+    monkeypatch.setattr(modelling, "_COMPARED", {})
     QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-    found = {}
-    for kind, size in asked:
-        found.setdefault(kind, set()).add(size)
-    assert found == want and len(asked) == fits
+    assert asked == want

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from leadline.plans import models, payoffs
+from leadline.checks import fixture
+from leadline.plans import boosting, models, outcomes, payoffs
 
 FEATURES = ["a", "b"]
 
@@ -77,8 +79,9 @@ def test_one_class_gets_all_the_probability(rows):
 
 def test_boost_stops_on_validation_rows(rows):
     marked = rows.withColumn("val", F.col("i") % 5 == 0)
-    model = models.fit_boost(marked, FEATURES, "hit", 10, validation="val")
-    assert 1 <= model.trees <= 10
+    model = models.fit_boost(marked, FEATURES, "hit", 60, validation="val", patience=3)
+    scores = model.models[0].scores
+    assert 1 <= model.trees < 60 and model.trees == boosting.best_prefix(scores, 3)[0]
 
 
 def test_comparison_and_report(rows):
@@ -94,6 +97,77 @@ def test_comparison_and_report(rows):
     assert report["forest"].median_trees == 3 and report["ridge"].median_trees is None
 
 
+@pytest.mark.parametrize("label, classes", [("hit", 2), ("c", 3)])
+def test_aucs_of_all_fits_by_sql(rows, tmp_path, label, classes):
+    """Folds and AUCs out of the stored scores, by DuckDB."""
+    of = models.design(rows, FEATURES, label, F.col("i"), ["i"], folds=3, keep=["i"])
+    fits = models.algorithms(trees=12, iterations=20, patience=4, depth=4, plain=True)
+    scores, sizes = models.cross_scores(of, fits)
+    aucs = {(r.algorithm, r.fold): r.auc for r in models.fold_aucs(scores, of.classes, sizes).collect()}
+    assert len(aucs) == 15 and {s[0] for s in sizes} == set(fits)
+    whole = sum((F.col(f"s{i}") for i in range(1, classes)), F.col("s0"))
+    assert scores.where(F.abs(whole - 1) > 1e-9).count() == 0
+    scores.select("algorithm", "fold", "id.i", F.col("label").cast("string").alias("label"), *[
+        f"s{i}" for i in range(classes)]).write.parquet(str(tmp_path / "scores"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW scores AS SELECT * FROM '{tmp_path}/scores/*.parquet'")
+    source = rows.select("i", F.col(label).cast("string").alias("label")).toPandas()  # noqa: F841
+    wrong = duck.sql("""
+        WITH folds AS (SELECT i, label, (row_number() OVER (PARTITION BY label
+            ORDER BY (i % 1000003 * 7919) % 1000003, i) - 1) % 3 AS fold FROM source),
+        fits AS (SELECT DISTINCT algorithm FROM scores)
+        SELECT count(*) FROM (SELECT algorithm, fold, i, label FROM folds, fits) f
+        FULL JOIN scores s USING (algorithm, fold, i, label) WHERE f.i IS NULL OR s.i IS NULL""")
+    assert wrong.fetchall() == [(0,)]
+    ends = [(str(of.classes[1]), "s1")] if classes == 2 else [
+        (c, f"s{k}") for k, c in enumerate(of.classes)]
+    ranks = " UNION ALL ".join(f"""
+        SELECT algorithm, fold, label = '{c}' AS hit, '{c}' AS class,
+            rank() OVER (PARTITION BY algorithm, fold ORDER BY {s})
+            + (count(*) OVER (PARTITION BY algorithm, fold, {s}) - 1) / 2.0::DOUBLE AS place
+        FROM scores""" for c, s in ends)
+    want = duck.sql(f"""SELECT algorithm, fold, sum(auc * n) / sum(n) FROM (
+        SELECT algorithm, fold, class, sum(hit::INTEGER) AS n,
+            (sum(place) FILTER (hit) - n * (n + 1) / 2) / (n * (count(*) - n)) AS auc
+        FROM ({ranks}) GROUP BY ALL) GROUP BY ALL""").fetchall()
+    assert aucs == {(a, f): pytest.approx(v) for a, f, v in want}
+    assert min(aucs.values()) > 0.6
+
+
+def test_payoffs_out_of_the_scored_probabilities(spark, tmp_path):
+    """The worked examples with small fits; DuckDB recomputes the payoffs from the chances."""
+    sf, maps = "/root/testdata/sf0.001", [f"chances_{n}" for n in payoffs.NAMES]
+    got = payoffs.payoff_scenarios(fixture.tracking(spark, sf), fixture.double_labels(spark, sf),
+                                   trees=8, patience=3, forest=5, keep=maps)
+    got.write.parquet(str(tmp_path / "payoffs"))
+    assert got.count() == len(payoffs.EXAMPLES)
+
+    def change(name, values):
+        return " + ".join(f"coalesce({name}['{c}'], 0) * ({v} - 0.836)" for c, v in values.items())
+
+    wrong = duckdb.sql(f"""
+        SELECT count(*) FILTER (abs(p - pickoff_prob) > 2e-5 OR abs(s - steal_prob) > 2e-5
+            OR abs(0.0016296 - p * 0.596 - pickoff_payoff) > 2e-5 OR abs(stay - pitch_stay_payoff) > 2e-5
+            OR abs(0.6486 * (s * (1.03 - 0.836) + (1 - s) * (0.24 - 0.836)) + stay - pitch_steal_payoff) > 2e-5
+            OR abs(o - bip_out_payoff) > 2e-5 OR abs(h - bip_single_payoff) > 2e-5
+            OR abs(d - bip_double_payoff) > 2e-5), count(*)
+        FROM (SELECT *, 0.1125 * o + 0.0354 * h + 0.0166 * d + 0.021329803603828152 AS stay
+            FROM (SELECT *, chances_pickoff['1'] AS p, chances_steal['0'] AS s, {change('chances_outs', payoffs.OUT_VALUES)} AS o,
+                {change('chances_singles', payoffs.SINGLE_VALUES)} AS h,
+                {change('chances_doubles', payoffs.DOUBLE_VALUES)} AS d
+                FROM '{tmp_path}/payoffs/*.parquet'))""").fetchall()
+    assert wrong == [(0, len(payoffs.EXAMPLES))]
+
+
+def test_final_boosting_takes_the_median_of_the_best_rounds(rows, monkeypatch):
+    """Two classes; the folds' best rounds are those of the stored validation scores."""
+    of = outcomes.OutcomeSet(rows.withColumnsRenamed({"i": "play_id"}).withColumn(
+        "game_str", F.lit("G")), FEATURES, "hit")
+    found = models.boost_folds(of.design(), 30, 4)
+    best = sorted(boosting.best_prefix(m.scores, 4)[0] for m in found.values())
+    assert payoffs.fit_tuned(of, 30, 4).trees == best[2]
+
+
 def test_payoffs_by_hand(spark):
     df = spark.createDataFrame([(0.1, 0.7)], "p double, s double")
     outs = {c: F.lit(0.25) for c in payoffs.OUT_VALUES}
