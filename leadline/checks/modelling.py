@@ -282,22 +282,10 @@ SETS = {
         WHERE batter_result = '2B' AND d.base_state IS NOT NULL""", ("hits", "labels_2b")),
 }
 
-_COMPARED: dict = {}
-
-
 def _sets(spark, sf, *names):
     return outcomes.outcome_sets(fixture.tracking(spark, sf), fixture.double_labels(spark, sf), names)
 
 
-def _compared(spark, sf, name):
-    """(aucs, scores) of one set, stored; computed once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _COMPARED:
-        aucs, scores = outcomes.compare(_sets(spark, sf, name)[name], game_key())
-        _COMPARED[key] = materialise(aucs), materialise(scores)
-    return _COMPARED[key]
-
-
 def _folds_sql(name):
     rows, need = SETS[name]
     return tracking_sql(f"""SELECT a.algorithm, f.fold, f.game_str, f.play_id,
@@ -310,19 +298,15 @@ def _folds_sql(name):
 
 
 def _register(name):
-    """Two queries for a set: the AUC of every fit and fold, and the rows they were scored on."""
-
-    def comparison(spark, sf):
-        return _compared(spark, sf, name)[0].select("algorithm", "fold", "auc", "trees")
+    """The validation rows that the fits of a set were scored on, each with its fold."""
 
     def rows(spark, sf):
-        scores = _compared(spark, sf, name)[1]
+        _, scores = outcomes.compare(_sets(spark, sf, name)[name], game_key())
         chances = [F.col(f"`{c}`") for c in scores.columns if c.startswith("p_")]
         return scores.select(
             "algorithm", "fold", *PLAY, F.col("label").cast("string").alias("label"),
             F.round(sum(chances[1:], chances[0]), 9).alias("total"))
 
-    check(name=f"compare_{name}")(comparison)
     check(_folds_sql(name), name=f"scored_{name}")(rows)
 
 
@@ -330,6 +314,14 @@ for _name in SETS:
     _register(_name)
 
 
+@check()
+def compare_models(spark, sf):
+    """All algorithms on the steals: AUC of every fold, and the report over the folds."""
+    aucs, _ = outcomes.compare(_sets(spark, sf, "steals")["steals"], game_key())
+    aucs = materialise(aucs)
+    return aucs.join(models.cv_report(aucs, trees="trees"), "algorithm").drop("repeat")
+
+
 def _design_sql(name):
     """One row per fold and play: medians, weights and index as the fits get them."""
     rows, need = SETS[name]

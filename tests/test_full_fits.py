@@ -2,7 +2,6 @@
 
 import pytest
 
-from leadline.checks import modelling
 from leadline.checks.all import QUERIES
 from leadline.plans import models
 
@@ -15,10 +14,11 @@ FINAL = ("boost", 1, None)     # the stand-in's best number of rounds
 
 @pytest.mark.parametrize("name, want", [
     ("fit_forest", {FOREST: 1}), ("fit_boost", {BOOST: 1}), ("fit_boost_multi", {BOOST: 1}),
-    ("score", {LINEAR: 1}), ("importance", {LINEAR: 4 + 3, FOREST: 1}),
-    ("compare_steals", {BOOST: 1, FOREST: 5, LINEAR: 15}),
-    ("compare_outs", {BOOST: 1, FOREST: 5, LINEAR: 5 * (4 + 1)}),
-    ("payoff_scenarios", {BOOST: 2, FINAL: 2, FOREST: 1, LINEAR: 4 + 3})])
+    ("score", {LINEAR: 1}), ("importance", {LINEAR: 2, FOREST: 1}),
+    ("scored_steals", {BOOST: 1, FOREST: 5, LINEAR: 15}),
+    ("compare_models", {BOOST: 1, FOREST: 5, LINEAR: 15}),
+    ("scored_outs", {BOOST: 1, FOREST: 5, LINEAR: 10}),
+    ("payoff_scenarios", {BOOST: 2, FINAL: 2, FOREST: 1, LINEAR: 2})])
 def test_settings_of_registered_fits(spark, monkeypatch, name, want):
     asked = {}
 
@@ -43,6 +43,5 @@ def test_settings_of_registered_fits(spark, monkeypatch, name, want):
     for kind in SMALL:
         monkeypatch.setattr(models, kind, recording(kind))
     monkeypatch.setattr(models, "boost", boost)
-    monkeypatch.setattr(modelling, "_COMPARED", {})
     QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert asked == want
