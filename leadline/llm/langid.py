@@ -23,6 +23,7 @@ from leadline.llm.text import BASE, blocks, buffers, hashes, mix, slices, words
 
 PARTS, HELD_OUT = 5, 0
 PER_LANGUAGE = 4000            # documents of each language learnt from
+BLOCK = 1 << 19                # bytes of text whose words are looked up at a time
 WORDS, GRAMS = 40_000, 20_000  # most frequent ones kept for each language and order
 ORDERS = (4, 3, 2, 1)
 UNDETERMINED = "und"
@@ -100,9 +101,9 @@ class LanguageModel:
         if not self.languages or not len(distinct):
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         each = self.of_words(distinct)
-        sums = np.zeros((len(at) + 1, each.shape[1]))
-        np.cumsum(each[at], axis=0, out=sums[1:])
-        total = sums[first[1:]] - sums[first[:-1]]
+        of = np.repeat(np.arange(len(texts)), np.diff(first))
+        total = np.stack([np.bincount(of, each[at, k], len(texts))
+                          for k in range(each.shape[1])], axis=1)
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         empty = first[1:] == first[:-1]
@@ -124,7 +125,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
 
     def count(batches):
         for batch in batches:
-            for rows, texts in blocks(batch, "text"):
+            for rows, texts in blocks(batch, "text", BLOCK):
                 names = rows.column(0).to_pylist()
                 for name in sorted(set(names)):
                     own = texts.filter(pa.array([n == name for n in names]))
@@ -173,7 +174,7 @@ def languages(docs: DataFrame) -> DataFrame:
     def predict(batches):
         model = shared.value
         for batch in batches:
-            for rows, texts in blocks(batch, "text"):
+            for rows, texts in blocks(batch, "text", BLOCK):
                 names, score = model.predict(texts)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(names, pa.string()), pa.array(score)],
