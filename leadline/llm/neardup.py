@@ -39,6 +39,7 @@ from leadline.session import materialise
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
 PIVOTS = 16  # pivots of a bucket in every round but the first
+BLOCK = 1 << 19  # bytes of text worked on at a time
 SLOTS = 1 << 22  # counters that tell rare grams from common ones; any number is right
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
 
@@ -115,7 +116,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            for rows, texts in blocks(batch, "text"):
+            for rows, texts in blocks(batch, "text", BLOCK):
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(
                         [sketch(g) for g in grams(texts)], pa.list_(pa.int64()))],
@@ -133,7 +134,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def align(batches):
         for batch in batches:
-            for rows, one in blocks(batch, "_ta"):
+            for rows, one in blocks(batch, "_ta", BLOCK):
                 other = rows.column(rows.schema.get_field_index("_tb"))
                 coded = other.dictionary_encode()
                 known = grams(coded.dictionary.cast(pa.large_string()))
@@ -153,7 +154,7 @@ def _gram_counts(texts: DataFrame) -> np.ndarray:
     def count(batches):
         found = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for _, part in blocks(batch, "text"):
+            for _, part in blocks(batch, "text", BLOCK):
                 for own in grams(part):
                     np.add.at(found, (own % np.uint64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(found)
@@ -195,7 +196,7 @@ def _near_ends(texts: DataFrame) -> DataFrame:
     def ends(batches):
         counts = shared.value
         for batch in batches:
-            for rows, part in blocks(batch, "text"):
+            for rows, part in blocks(batch, "text", BLOCK):
                 each = grams(part)
                 found = [rare_end(own, counts) for own in each]
                 size = np.array([len(at) for at, _ in found], np.int64)
@@ -225,13 +226,16 @@ def _near_ends(texts: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored tables: (doc_id, node) of every row, (node, _first) of every node with its
-    smallest doc_id, and (node, root) of every node that shares a bucket with another one.
+    """Stored tables: (doc_id, node, _row) of every row, (node, _first, _row) of every node with
+    its smallest doc_id and one row that has it, and (node, root) of every node that shares a
+    bucket with another one.
     """
-    seen = materialise(_sketches(docs))
-    nodes = seen.groupBy("node").agg(F.min("doc_id").alias("_first"),
-                                     F.first("keys").alias("keys"))
-    nodes = materialise(nodes)
+    seen = materialise(_sketches(docs).withColumn("_row", F.monotonically_increasing_id()))
+    nodes = seen.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("_s"),
+        F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select("node", F.col("_s.doc_id").alias("_first"),
+                                     F.col("_s._row").alias("_row"), "keys"))
     every = materialise(nodes.select("node", F.posexplode("keys").alias("_band", "_key")).select(
         "node", F.xxhash64("_band", "_key").alias("bucket")))
     crowded = every.groupBy("bucket").agg(
@@ -286,7 +290,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         new = materialise(verified(pairs.select("a", "b"), own))
         if not new.isEmpty():
             labels = _joined(labels, new, pairs, rows)
-    return seen.select("doc_id", "node"), nodes.select("node", "_first"), labels
+    return seen.select("doc_id", "node", "_row"), nodes.select("node", "_first", "_row"), labels
 
 
 def _joined(labels: DataFrame, new: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
@@ -308,20 +312,25 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored rows, and (node, _first, root) of every node; _first is its smallest doc_id."""
+    """The stored rows, and (node, _first, _row, root) of every node."""
     seen, nodes, labels = near_classes(docs)
     return seen, materialise(nodes.join(labels, "node", "left").withColumn(
         "root", F.coalesce("root", "node")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and kept of every row; the class is named by its smallest doc_id."""
+    """doc_id, class_id and kept of every row; the class is named by its smallest doc_id.
+
+    One row of a class is kept: one with that id, whatever repeats.
+    """
     seen, nodes = _rooted(docs)
-    named = nodes.groupBy("root").agg(F.min("_first").alias("class_id"))
+    named = nodes.groupBy("root").agg(F.min(F.struct(
+        F.col("_first").isNull().alias("_none"), "_first", "_row")).alias("_s")).select(
+        "root", F.col("_s._first").alias("class_id"), F.col("_s._row").alias("_stays"))
     of = narrow_join(nodes.select("node", "root"), named, "root", nodes.count()).select(
-        "node", "class_id")
+        "node", "class_id", "_stays")
     return narrow_join(seen, materialise(of), "node", seen.count()).select(
-        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        "doc_id", "class_id", (F.col("_row") == F.col("_stays")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -330,7 +339,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stay = nodes.groupBy("root").agg(F.min(F.struct(
         F.col("_first").isNull().alias("_none"), "_first", "node")).alias("s")).select(
         F.col("s._first").alias("_first"), F.col("s.node").alias("_node"))
-    marked = docs.withColumn("_node", _node(docs))
+    marked = docs.select("doc_id", _node(docs).alias("_node"), F.struct(*docs.columns).alias("_doc"))
     kept = marked.join(stay, (F.col("doc_id").eqNullSafe(F.col("_first")))
                        & (marked["_node"] == stay["_node"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return kept.dropDuplicates(["doc_id", "_node"]).select("_doc.*")

@@ -238,7 +238,7 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             size = batch.schema.get_field_index("n_chars")
-            for rows, _ in blocks(batch, "text"):
+            for rows, _ in blocks(batch, "text", 1 << 19):   # all columns come along
                 before = rows.column(at).to_pylist()
                 after = [t if t is None else redacted(t) for t in before]
                 columns = list(rows.columns)

@@ -29,7 +29,8 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns with clashing names."""
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("score", "node", "y", "shard", "_part", "item_id", "words"):
+    for name in ("score", "node", "y", "shard", "_part", "item_id", "words", "_first", "_node",
+                 "_row", "root"):
         df = df.selectExpr("*", f"'x' as {name}")
     return df
 

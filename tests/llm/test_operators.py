@@ -235,6 +235,16 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in found} == {k: of(k) for k in range(len(texts))}
 
 
+def test_one_row_of_a_class_is_kept(spark):
+    long_, other = " ".join(f"w{k}" for k in range(90)), " ".join(f"x{k}" for k in range(90))
+    rows = [(1, long_), (1, long_), (2, long_ + " more"), (None, other), (7, other), (7, other), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["class_id"]), r["kept"]) for r in got) == [
+        ("1", False), ("1", False), ("1", True), ("7", False), ("7", False), ("7", True), ("None", True)]
+    kept = [r["doc_id"] for r in got if r["kept"]]
+    assert sorted(map(str, kept)) == ["1", "7", "None"]
+
+
 def test_components_by_brute_force(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [
