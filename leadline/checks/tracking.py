@@ -18,7 +18,9 @@ from leadline.operators import motion, relational, temporal
 from leadline.plans import balls_in_play, leads, moments, people, pickoffs, steals
 from leadline.plans.moments import CHUNK_MS, XY
 from leadline.session import materialise, scratch_path
-from leadline.sources.tracking import load_tracking, write_partitioned
+from leadline.sources.tracking import (
+    CANONICAL, canonicalise, load_games, load_tracking, write_partitioned, write_tracking,
+)
 
 # -- oracle tables -----------------------------------------------------------------
 
@@ -325,6 +327,31 @@ def sink_roundtrip(spark, sf):
 
 # -- filters, projections, scalars ---------------------------------------------------
 
+@check(sql("""SELECT p.game_str, p.play_id, p.pos, count(*) AS n, sum(p.ts)::BIGINT AS t,
+    round(sum(p.x), 4) AS x, round(sum(p.y), 4) AS y FROM pp p
+WHERE p.game_str IN ('G0', 'G7', 'G10') GROUP BY ALL""", "pp"), name="load_games")
+def load_games_query(spark, sf):
+    """Some games out of the partitioned sink; only their files are read."""
+    path = scratch_path(spark, "games")
+    write_tracking(fx(spark, sf), path)
+    rows = load_games(spark, path, ["G0", "G7", "G10"]).player_pos
+    return rows.groupBy("game_str", "play_id", F.col("player_position").alias("pos")).agg(
+        F.count("*").alias("n"), F.sum("timestamp").alias("t"),
+        F.round(F.sum("field_x"), 4).alias("x"), F.round(F.sum("field_y"), 4).alias("y"))
+
+
+@check(sql("""SELECT game_str, play_id, pos, ts AS t, CASE WHEN ts % 200 = 0 THEN NULL ELSE round(x, 6) END
+    AS x FROM pp WHERE pos = 11""", "pp"))
+def text_coordinates(spark, sf):
+    """Coordinates that come as text, some of them marked as missing."""
+    raw = fixture.raw_tables(spark, sf)["player_pos"].where("player_position = 11")
+    text = raw.withColumn("field_x", F.when(
+        F.col("timestamp") % 200 == 0, "NA").otherwise(F.col("field_x").cast("string")))
+    rows = canonicalise(text, CANONICAL["player_pos"])
+    return rows.select("game_str", "play_id", F.col("player_position").alias("pos"),
+                       F.col("timestamp").alias("t"), F.round("field_x", 6).alias("x"))
+
+
 @check(sql("SELECT * FROM who", "who"))
 def map_runner_ids(spark, sf):
     rows = people.runner_ids(fx(spark, sf))

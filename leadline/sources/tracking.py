@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,28 @@ def load_tracking(spark: SparkSession, folder: str) -> Tracking:
     })
 
 
+def load_games(spark: SparkSession, folder: str, games) -> Tracking:
+    """The tables of some games. Over a folder written by ``write_tracking`` only the files of
+    these games are read; elsewhere the filter reaches the row groups.
+    """
+    t = load_tracking(spark, folder)
+    wanted = F.col("game_str").isin(*games)
+    return Tracking(**{f.name: getattr(t, f.name).where(wanted) for f in fields(t)})
+
+
+def load_game(spark: SparkSession, folder: str, game: str) -> Tracking:
+    """One game, as the drawing of a play needs it; frames of any other game are an error."""
+    t = load_games(spark, folder, [game])
+    return replace(t, player_pos=require_one_game(t.player_pos),
+                   ball_pos=require_one_game(t.ball_pos))
+
+
+def write_tracking(t: Tracking, folder: str, mode: str = "errorifexists") -> None:
+    """The four tables, one folder per game in each."""
+    for f in fields(t):
+        write_partitioned(getattr(t, f.name), f"{folder}/{f.name}", mode=mode)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str = "game_str",
                       mode: str = "errorifexists") -> None:
     """Write one folder per group.

@@ -102,3 +102,19 @@ def test_three_lags_share_one_exchange_of_the_rows(spark):
     df = runner_lookback(fixture.tracking(spark, SF))
     one = exchanges(df)
     assert one <= 4 and df._jdf.queryExecution().executedPlan().toString().count("Window") <= 4
+
+
+def test_games_are_read_out_of_their_folders(spark, tmp_path):
+    from leadline.checks import fixture
+    from leadline.sources.tracking import load_game, load_games, write_tracking
+    whole = fixture.tracking(spark, SF)
+    write_tracking(whole, str(tmp_path / "games"))
+    some = load_games(spark, str(tmp_path / "games"), ["G3", "G5"])
+    for name in ("game_info", "game_events", "player_pos", "ball_pos"):
+        df, want = getattr(some, name), getattr(whole, name).where("game_str IN ('G3', 'G5')")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*game_str[^\]]* IN \(G3,G5\)", plan)
+        assert df.columns == want.columns and df.count() == want.count() > 0
+        assert df.exceptAll(want).isEmpty()
+    assert load_game(spark, str(tmp_path / "games"), "G3").ball_pos.count() == some.ball_pos.where(
+        "game_str = 'G3'").count()
