@@ -101,12 +101,18 @@ def load_tracking(spark: SparkSession, folder: str) -> Tracking:
 
 
 def load_games(spark: SparkSession, folder: str, games) -> Tracking:
-    """The tables of some games. Over a folder written by ``write_tracking`` only the files of
-    these games are read; elsewhere the filter reaches the row groups.
+    """The tables of some games out of a folder that ``write_tracking`` wrote.
+
+    Only the files of these games are read.
     """
-    t = load_tracking(spark, folder)
     wanted = F.col("game_str").isin(*games)
-    return Tracking(**{f.name: getattr(t, f.name).where(wanted) for f in fields(t)})
+    tables = {}
+    for name, spec in CANONICAL.items():
+        kinds = {c: "string" if kind == "key" else kind for c, kind in spec.items()}
+        schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+        tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}").select(
+            *spec).where(wanted)
+    return Tracking(**tables)
 
 
 def load_game(spark: SparkSession, folder: str, game: str) -> Tracking:
