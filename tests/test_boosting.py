@@ -175,3 +175,36 @@ def test_design_of_a_cross_validation(spark):
 def test_too_many_classes(spark):
     with pytest.raises(ValueError):
         models.fit_logit(spark.range(500).withColumn("a", F.lit(1.0)), ["a"], "id")
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_equal_rows_are_counted_and_folds_grown_apart(spark, monkeypatch, classes):
+    """Every row five times: one job's worth of cells, and the trees of the passes over all rows."""
+    _, df = table(spark, classes, n=120, folds=3)
+    df = df.withColumn("a", F.round("a")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("_k")
+    settings = dict(depth=3, step=0.5, patience=4, block=3)
+    tracker, group = spark.sparkContext.statusTracker(), f"alone {classes}"
+    spark.sparkContext.setJobGroup(group, group)
+    alone = boosting.boost(df, FEATURES, classes, 9, **settings)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(tracker.getJobIdsForGroup(group)) < 20   # a job for every level of every round before
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 40)
+    passes = boosting.boost(df, FEATURES, classes, 9, **settings)
+    assert set(alone) == set(passes) == {0, 1, 2}
+    for f, model in alone.items():
+        assert model.scores == pytest.approx(passes[f].scores, abs=1e-9)
+        assert model.getNumTrees == passes[f].getNumTrees
+        assert model.feature.tolist() == passes[f].feature.tolist()
+        assert model.limit.tolist() == passes[f].limit.tolist()
+        assert model.value == pytest.approx(passes[f].value, abs=1e-9)
+        assert model.gain == pytest.approx(passes[f].gain)
+
+
+def test_remembered_chances_are_those_of_every_row(spark, monkeypatch):
+    data, df = table(spark, 3)
+    model = boosting.boost(df, FEATURES, 3, 3)[0]
+    monkeypatch.setattr(boosting, "KNOWN", 30)
+    chances = model.remembering()
+    for part in (data[:100], data[50:60], data[100:]):
+        columns = [np.array([r[k] for r in part]) for k in (4, 5)]
+        assert chances(columns) == pytest.approx(model.chances(columns))
