@@ -180,3 +180,21 @@ def test_payoffs_by_hand(spark):
     run = 0.6486 * (0.7 * (1.03 - 0.836) + 0.3 * (0.24 - 0.836)) + stay
     assert tuple(r) == pytest.approx(
         (0.1, 0.7, 0.0016296 - 0.0596, stay, run, out, single, double), abs=6e-6)
+
+
+@pytest.mark.parametrize("names", [("outs", "singles"), ("pickoffs",)])
+def test_sets_of_one_kind_of_play_make_only_what_they_need(spark, monkeypatch, names):
+    """No pop times, no releases of other plays; the rows are those of the shared tables."""
+    t = fixture.tracking(spark, "/root/testdata/sf0.001")
+    shared = outcomes.outcome_sets(t, names=names, measures=outcomes.Measures.of(t))
+
+    def never(*_):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(outcomes, "release_time", never)
+    monkeypatch.setattr(outcomes, "pop_time", never)
+    own = outcomes.outcome_sets(t, names=names)
+    assert set(own) == set(names)
+    for name in names:
+        a, b = own[name].rows, shared[name].rows
+        assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
