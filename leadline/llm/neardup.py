@@ -9,13 +9,14 @@ probability about 0.8**3, so all 16 tuples miss them with probability 1e-5.
 Candidates are verified: the labelled grams of both are aligned within the band of offsets
 that the threshold allows, and the longest common subsequence c gives c / (n1 + n2 - c).
 
-A bucket of equal tuples is never expanded into pairs: all members are compared with one
-pivot of the bucket. Buckets that hold several classes afterwards get other pivots, 16 to a
-round, until a round joins no classes. That merges large classes cheaply; the rest is exact:
-all nodes of buckets with several classes and untested pairs are joined on the rare ends of
-their gram sets (``_near_ends``). A pair of different classes that can reach the threshold
-meets there and is aligned; only bounds that hold for every such pair leave any out. Equal
-texts are one node from the start.
+A large bucket of equal tuples is never expanded into pairs. In a round every bucket has a few
+pivots, and every node is compared with as many of those that are in another class. Only buckets that still hold several classes go on, as long as a round joins enough of its pairs.
+That merges large classes with no more pairs in a round than there are nodes; the rest is
+exact: buckets of at most ``SMALL`` nodes test all pairs of different classes, and the nodes of
+the larger ones are joined on the rare ends of their gram sets (``_near_ends``). A pair of
+different classes that can reach the threshold meets there and is aligned, a few for each node
+first, unless others joined its classes; only bounds that hold for every such pair leave any
+out. Equal texts are one node from the start.
 
 Defined cases: a null text is a class of its own for each doc_id; texts with fewer than five
 words have one gram of all words; texts without a word are near only to equal texts. Extra
@@ -28,17 +29,20 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadline.llm.components import components
-from leadline.llm.skew import hot_join, narrow_join, parts
+from leadline.llm.skew import GROUP_ROWS, hot_join, narrow_join, parts
 from leadline.llm.text import BASE, MIX, blocks, hashes, mix, words
 from leadline.session import materialise
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 16, 3
-PIVOTS = 16  # pivots of a bucket in every round but the first
+PIVOTS = 4  # pivots of a bucket, and pairs for a node, in every round but the first
+SMALL = 16  # nodes of a bucket up to which all its pairs are tested
+FRUITFUL = 50  # rounds go on while one of so many pairs is a link
+EACH = 8  # pairs for a node that are tested before others are looked at again, and their growth
 BLOCK = 1 << 19  # bytes of text worked on at a time
 SLOTS = 1 << 22  # counters that tell rare grams from common ones; any number is right
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
@@ -112,23 +116,26 @@ def _node(docs: DataFrame):
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node and keys of every row."""
+    """doc_id, node, keys and number of grams of every row."""
 
     def keys(batches):
         for batch in batches:
             for rows, texts in blocks(batch, "text", BLOCK):
+                each = grams(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(
-                        [sketch(g) for g in grams(texts)], pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "keys"])
+                    [rows.column(0), rows.column(1),
+                     pa.array([sketch(g) for g in each], pa.list_(pa.int64())),
+                     pa.array([len(g) for g in each], pa.int32())],
+                    names=["doc_id", "node", "keys", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", _node(docs).alias("node"), "text").mapInArrow(
-        keys, f"doc_id {kind}, node string, keys array<bigint>")
+        keys, f"doc_id {kind}, node string, keys array<bigint>, n int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes that align, with their similarity."""
+    kind = dict(pairs.dtypes)["a"]
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
     both = hot_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b", pairs)
 
@@ -145,7 +152,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     names=["a", "b", "similarity"])
 
     return both.select("a", "b", "_ta", "_tb").mapInArrow(
-        align, "a string, b string, similarity double").where("similarity > 0")
+        align, f"a {kind}, b {kind}, similarity double").where("similarity > 0")
 
 
 def _gram_counts(texts: DataFrame) -> np.ndarray:
@@ -192,6 +199,7 @@ def _near_ends(texts: DataFrame) -> DataFrame:
     and the shorter text needs a shorter prefix.
     """
     shared = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts))
+    kind = dict(texts.dtypes)["node"]
 
     def ends(batches):
         counts = shared.value
@@ -210,7 +218,7 @@ def _near_ends(texts: DataFrame) -> DataFrame:
                     names=["node", "root", "n", "place", "gram"])
 
     entries = materialise(texts.select("node", "root", "text").mapInArrow(
-        ends, "node string, root string, n bigint, place bigint, gram bigint"))
+        ends, f"node {kind}, root {kind}, n bigint, place bigint, gram bigint"))
     several = entries.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias(
         "_high")).where("_low != _high").select("gram")
     total = entries.count()
@@ -227,70 +235,125 @@ def _near_ends(texts: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables: (doc_id, node, _row) of every row, (node, _first, _row) of every node with
-    its smallest doc_id and one row that has it, and (node, root) of every node that shares a
-    bucket with another one.
+    its smallest doc_id and one row that has it, and (_row, root) of every node that shares a
+    bucket with another one. A node goes by the number of that row from here on.
     """
     seen = materialise(_sketches(docs).withColumn("_row", F.monotonically_increasing_id()))
     nodes = seen.groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")).alias("_s"),
-        F.first("keys").alias("keys"))
+        F.first("keys").alias("keys"), F.first("n").alias("n"))
     nodes = materialise(nodes.select("node", F.col("_s.doc_id").alias("_first"),
-                                     F.col("_s._row").alias("_row"), "keys"))
-    every = materialise(nodes.select("node", F.posexplode("keys").alias("_band", "_key")).select(
-        "node", F.xxhash64("_band", "_key").alias("bucket")))
-    crowded = every.groupBy("bucket").agg(
-        F.min("node").alias("_low"), F.max("node").alias("_high")).where(
-        "_low != _high").select("bucket")
-    buckets = materialise(narrow_join(every, crowded, "bucket", every.count()))
+                                     F.col("_s._row").alias("_row"), "keys", "n"))
+    every = materialise(nodes.select(
+        F.col("_row").alias("node"), "n", F.posexplode("keys").alias("_band", "_key")).select(
+        "node", "n", F.xxhash64("_band", "_key").alias("bucket")))
+    crowded = materialise(every.groupBy("bucket").agg(
+        F.min("node").alias("_low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("_n")
+    ).where("_low != _high").select("bucket", "_n"))
+    buckets = materialise(narrow_join(
+        every, crowded.select("bucket"), "bucket", every.count(), sizes=crowded))
     rows = buckets.count()
     labels = materialise(buckets.select("node").distinct().select(
         "node", F.col("node").alias("root")))
-    own = None  # texts of these nodes, one row each
-    tested = None
-    turn = 0
+    if not rows:
+        return seen.select("doc_id", "node", "_row"), nodes.select("node", "_first", "_row"), \
+            labels.withColumnRenamed("node", "_row")
+    own = _texts(docs, labels.join(nodes.withColumnRenamed("node", "_node"), F.col(
+        "node") == F.col("_row")).select("node", "_node", "_first"))
+    own = materialise(own)   # texts of these nodes, one row each
+    tested, turn = None, 0
     while True:
-        now = buckets.join(labels, "node")  # a node has as many rows as there are sketches
-        chosen = [F.min(F.struct(F.xxhash64("node", F.lit(f"{turn} {k}")).alias("at"),
-                                 "node", "root")).alias(f"p{k}")
-                  for k in range(PIVOTS if turn else 1)]
-        pivots = now.groupBy("bucket").agg(
-            *chosen, F.min("root").alias("_low"), F.max("root").alias("_high"),
-            F.count(F.lit(1)).alias("_n")
-        ).where("_low != _high").select("bucket", "_n", F.array_distinct(F.array(
-            *(f"p{k}" for k in range(len(chosen))))).alias("_pivots"))
-        pairs = narrow_join(now, pivots, "bucket", rows).select(
-            "node", "root", F.explode("_pivots").alias("p")).where("root != p.root").select(
-            F.col("node").alias("a"), F.col("p.node").alias("b"),
-            F.col("root").alias("ra"), F.col("p.root").alias("rb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs.coalesce(parts(rows)))
-        if pairs.isEmpty():
+        each = PIVOTS if turn else 1
+        buckets = _open(buckets, labels, turn, each)
+        pairs = _untested(buckets.select("node", "root", "n", F.explode("pivots").alias("p")).where(
+            "root != p.root").select(
+            F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("root").alias("ra"),
+            F.col("p.root").alias("rb"), "n", F.col("p.n").alias("m")).distinct(), tested)
+        near = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)), "b")
+        pairs = materialise(pairs.withColumn("_turn", F.row_number().over(near)).where(
+            F.col("_turn") <= each).select("a", "b", "ra", "rb").coalesce(parts(rows)))
+        labels, tested, links = _tested(pairs, own, labels, tested, rows)
+        if links * FRUITFUL <= pairs.count():
             break
-        if own is None:
-            own = materialise(_texts(docs, labels.join(nodes, "node").select("node", "_first")))
-        new = materialise(verified(pairs.select("a", "b"), own))
-        once = pairs.select("a", "b")
-        tested = once if tested is None else tested.unionByName(once)
-        if new.isEmpty():
-            break
-        labels = _joined(labels, new, pairs, rows)
         turn += 1
-    # pairs of pivots are tested, so two members at least must be none
-    crowded = pivots.where(F.col("_n") - F.size("_pivots") > 1).select("bucket")
-    rest = materialise(buckets.join(crowded, "bucket", "left_semi").select("node").distinct().join(
-        labels, "node"))
+    few = _open(buckets, labels).where(F.col("_n") <= SMALL).drop("pivots")
+    pairs = few.alias("s").join(few.alias("l"), F.expr(
+        "s.bucket = l.bucket AND s.root < l.root")).select(
+        F.col("s.node").alias("a"), F.col("l.node").alias("b"), F.col("s.root").alias("ra"),
+        F.col("l.root").alias("rb"), F.col("s.n").alias("n"), F.col("l.n").alias("m"))
+    pairs = materialise(_untested(pairs.distinct(), tested).select("a", "b", "ra", "rb"))
+    labels, tested, _ = _tested(pairs, own, labels, tested, rows)
+    rest = materialise(_open(buckets, labels).where(F.col("_n") > SMALL).select(
+        "node", "root").distinct())
     if not rest.isEmpty():
         texts = materialise(narrow_join(own, rest, "node", rows).select("node", "root", "text"))
-        pairs = _near_ends(texts)
-        if tested is not None:
-            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        new = materialise(verified(pairs.select("a", "b"), own))
-        if not new.isEmpty():
-            labels = _joined(labels, new, pairs, rows)
-    return seen.select("doc_id", "node", "_row"), nodes.select("node", "_first", "_row"), labels
+        pairs, each = materialise(_without(_near_ends(texts), tested)), EACH
+        while not pairs.isEmpty():
+            some = materialise(_some(pairs, labels, each, rest.count()))
+            labels, tested, _ = _tested(some, own, labels, tested, rows)
+            pairs = materialise(_apart(pairs.join(some.select("a", "b"), ["a", "b"], "left_anti"), labels))
+            each *= EACH
+    return seen.select("doc_id", "node", "_row"), nodes.select("node", "_first", "_row"), \
+        labels.withColumnRenamed("node", "_row")
+
+
+def _open(buckets: DataFrame, labels: DataFrame, turn: int = 0, each: int = 1) -> DataFrame:
+    """The stored rows (node, n, bucket) of buckets with several classes, with their root, the
+    pivots of their bucket in this turn (node, root, n), and its number of nodes."""
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(f"{turn} {k}")).alias("at"), "node", "root",
+                            "n")).alias(f"p{k}") for k in range(each)]
+    pivots = F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in (
+        "node", "root", "n")]) for k in range(each)])).alias("pivots")
+    now = buckets.select("node", "n", "bucket").join(labels, "node")
+    sizes = materialise(now.groupBy("bucket").agg(
+        *first, F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")
+    ).where(f"_low != _high OR _n >= {GROUP_ROWS}"))   # a large bucket of one class is a hot key, too
+    several = sizes.where("_low != _high").select("bucket", pivots, "_n")
+    return materialise(narrow_join(now, several, "bucket", buckets.count(), sizes=sizes))
+
+
+def _some(pairs: DataFrame, labels: DataFrame, each: int, nodes: int) -> DataFrame:
+    """``each`` of the pairs for a node, on the side of the smaller class; all if they are few."""
+    if pairs.count() <= each * nodes:
+        return pairs
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    both = pairs.join(sizes.select(F.col("root").alias("ra"), F.col("_n").alias("_na")), "ra").join(
+        sizes.select(F.col("root").alias("rb"), F.col("_n").alias("_nb")), "rb")
+    both = both.withColumn("_own", F.expr("IF(_na < _nb OR _na = _nb AND ra < rb, a, b)"))
+    turn = F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64("a", "b")))
+    return both.withColumn("_turn", turn).where(F.col("_turn") <= each).select("a", "b", "ra", "rb")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different classes, with the roots they have now."""
+    of = [labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    return pairs.select("a", "b").join(of[0], "a").join(of[1], "b").where("ra != rb")
+
+
+def _without(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    if tested is None:
+        return pairs
+    known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs with ``n`` and ``m`` grams that can align and were not compared before."""
+    return _without(pairs.where(F.expr(
+        f"least(n, m) >= {SIMILARITY}D * greatest(n, m) - 1e-9D")), tested)
+
+
+def _tested(pairs: DataFrame, own: DataFrame, labels: DataFrame, tested: DataFrame | None,
+            rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """The labels and the tested pairs after the stored ``pairs``, and how many were links."""
+    if pairs.isEmpty():
+        return labels, tested, 0
+    ends = pairs.select(F.col("a").alias("node")).unionByName(
+        pairs.select(F.col("b").alias("node"))).distinct()
+    new = materialise(verified(pairs.select("a", "b"), narrow_join(own, ends, "node", rows)))
+    once, links = pairs.select("a", "b"), new.count()
+    tested = once if tested is None else tested.unionByName(once)
+    return _joined(labels, new, pairs, rows) if links else labels, tested, links
 
 
 def _joined(labels: DataFrame, new: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
@@ -303,19 +366,17 @@ def _joined(labels: DataFrame, new: DataFrame, pairs: DataFrame, rows: int) -> D
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes (node, _first), read from the row of the first doc_id."""
-    marked = docs.where(F.col("text").isNotNull()).select("doc_id", _node(docs).alias("node"), "text")
-    return marked.alias("d").join(
-        wanted.alias("w"), (F.col("d.node") == F.col("w.node"))
-        & F.col("d.doc_id").eqNullSafe(F.col("w._first")), "left_semi").groupBy("node").agg(
-        F.first("text").alias("text"))
+    """node, text of the wanted nodes (node, _node, _first), read from rows of the first doc_id."""
+    marked = docs.where(F.col("text").isNotNull()).select("doc_id", _node(docs).alias("_mark"), "text")
+    return marked.join(wanted, (F.col("_mark") == F.col("_node")) & F.col("doc_id").eqNullSafe(
+        F.col("_first"))).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stored rows, and (node, _first, _row, root) of every node."""
     seen, nodes, labels = near_classes(docs)
-    return seen, materialise(nodes.join(labels, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")))
+    return seen, materialise(nodes.join(labels, "_row", "left").withColumn(
+        "root", F.coalesce("root", "_row")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -44,17 +44,19 @@ def parts(rows: int) -> int:
 
 
 def narrow_join(big: DataFrame, small: DataFrame, on: str, total: int,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Inner or left join on one column; ``small`` has one short row for each value of it.
 
     The rows of ``small`` for hot keys, as ``hot_join`` defines them for the ``total`` rows of
     ``big``, are at most ``HOT_KEYS`` short ones and are broadcast, so rows of hot keys are
-    not moved at all; the others meet by a plain join. All rows are kept.
+    not moved at all; the others meet by a plain join. All rows are kept. ``sizes`` has the
+    number of rows ``_n`` of every key of ``small`` in ``big``, where it is known.
     """
     if total < GROUP_ROWS:  # no key can be hot
         return big.join(small, on, how)
-    hot = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= max(GROUP_ROWS, total / HOT_KEYS)).select(on)
+    if sizes is None:
+        sizes = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") >= max(GROUP_ROWS, total / HOT_KEYS)).select(on)
     meets = F.broadcast(small.join(F.broadcast(hot), on, "left_semi"))
     return big.join(F.broadcast(hot), on, "left_semi").join(meets, on, how).unionByName(
         big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))

@@ -53,3 +53,32 @@ def test_rare_ends_meet_every_near_pair(spark):
     pairs = [tuple(sorted((int(r["a"]), int(r["b"])))) for r in neardup._near_ends(rows).collect()]
     assert len(pairs) == len(set(pairs)) and want <= set(pairs) and want
     assert len(pairs) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_pairs_of_a_round_follow_the_nodes(spark, monkeypatch):
+    """Pages with half of their words in common beside near copies: the right classes, few pairs."""
+    rng = random.Random(21)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    line, base, texts = fresh(60), fresh(300), []
+    for k in range(400):
+        new = line + fresh(60) if k % 4 else list(base)
+        if not k % 4:
+            for at in rng.sample(range(300), rng.randrange(1, 4)):
+                new[at] = fresh(1)[0]
+        texts.append(" ".join(new))
+    compared, aligned = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, own: (
+        compared.append(pairs.count()), aligned(pairs, own))[1])
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id bigint, text string").repartition(8)).collect()}
+    own = neardup.grams(pa.array(texts, pa.large_string()))
+    want = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if neardup.alignment(own[a], own[b]):
+            low, high = sorted((want[a], want[b]))
+            want = [low if c == high else c for c in want]
+    assert found == dict(enumerate(want)) and len(set(want)) < 310
+    assert max(compared) <= neardup.PIVOTS * len(texts)
