@@ -118,3 +118,17 @@ def test_games_are_read_out_of_their_folders(spark, tmp_path):
         assert df.exceptAll(want).isEmpty()
     assert load_game(spark, str(tmp_path / "games"), "G3").ball_pos.count() == some.ball_pos.where(
         "game_str = 'G3'").count()
+
+
+def test_only_the_folders_of_the_games_are_listed(spark, tmp_path):
+    from leadline.checks import fixture
+    from leadline.sources.tracking import load_games, write_partitioned
+    events = fixture.tracking(spark, SF).game_events.where("game_str IN ('G1', 'G3', 'G5')")
+    for name in ("game_info", "game_events", "player_pos", "ball_pos"):
+        write_partitioned(events, str(tmp_path / name))
+    found = {games: load_games(spark, str(tmp_path), games).game_events
+             for games in (("G3", "none"), ("none",), (), ("G3", "G*"))}
+    assert {re.search("game_str=([^/]*)", f).group(1) for f in found["G3", "none"].inputFiles()} == {"G3"}
+    three = events.where("game_str = 'G3'").count()
+    assert {k: df.count() for k, df in found.items()} == {
+        ("G3", "none"): three, ("none",): 0, (): 0, ("G3", "G*"): three}
