@@ -45,6 +45,7 @@ FRUITFUL = 50  # rounds go on while one of so many pairs is a link
 EACH = 8  # pairs for a node that are tested before others are looked at again, and their growth
 BLOCK = 1 << 19  # bytes of text worked on at a time
 SLOTS = 1 << 22  # counters that tell rare grams from common ones; any number is right
+BITS = 256  # of the outline of a set of grams; any multiple of 64 is right
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MIX)
 
 
@@ -159,7 +160,7 @@ def _gram_counts(texts: DataFrame) -> np.ndarray:
     """How many texts hold a gram of each slot, so no fewer than hold any one of its grams."""
 
     def count(batches):
-        found = np.zeros(SLOTS, np.int64)
+        found = np.zeros(SLOTS, np.int32)
         for batch in batches:
             for _, part in blocks(batch, "text", BLOCK):
                 for own in grams(part):
@@ -168,18 +169,41 @@ def _gram_counts(texts: DataFrame) -> np.ndarray:
         for k in range(0, len(at), 1 << 16):
             part = at[k:k + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(found[part])], names=["slot", "n"])
+                [pa.array(part), pa.array(found[part].astype(np.int64))], names=["slot", "n"])
 
     # SLOTS short rows at most
     rows = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(
         F.sum("n").alias("n")).toArrow()
-    found = np.zeros(SLOTS, np.int64)
-    found[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    found = np.zeros(SLOTS, np.int32)   # capped at its greatest number, which only orders grams
+    found[rows.column("slot").to_numpy()] = np.minimum(
+        rows.column("n").to_numpy(), np.iinfo(np.int32).max)
     return found
 
 
-def rare_end(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and grams of the prefix of ``own``, in one order of all grams with rare ones first.
+def outlines(own: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of words for each place of ``at``: the parity of the grams in each of ``BITS`` slots,
+    without the grams that come before that place in ``order``.
+
+    Two sets differ in at least as many grams as their outlines differ in bits.
+    """
+    slot = (mix(own) % np.uint64(BITS)).astype(np.int64)
+    gone, now = slot[order], (np.bincount(slot, minlength=BITS) & 1).astype(np.uint8)
+    found = [np.zeros((0, BITS // 64), np.int64)]
+    for k in range(0, len(order), 4096):   # places of a long text in portions
+        part = gone[k:k + 4096]
+        odd = np.zeros((len(part) + 1, BITS), np.uint8)
+        odd[0] = now
+        odd[np.arange(len(part)) + 1, part] = 1
+        odd = np.cumsum(odd, axis=0, dtype=np.uint8) & 1
+        here = at[(at >= k) & (at < k + 4096)] - k
+        found.append(np.packbits(odd[here], axis=1).view(np.int64))
+        now = odd[-1]
+    return np.concatenate(found)
+
+
+def rare_end(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, grams and outlines of the prefix of ``own``, in one order of all grams with rare
+    ones first. An outline is that of the grams from the place on.
 
     A text of n grams and one of m <= n have SIMILARITY only if they share SIMILARITY * n
     grams, so the first one they share is among the first n - SIMILARITY * n + 1. Grams that
@@ -188,7 +212,7 @@ def rare_end(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     often = counts[(own % np.uint64(SLOTS)).astype(np.int64)]
     order = np.lexsort((own, often))[:len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-6)) + 1]
     at = np.flatnonzero(often[order] > 1)
-    return at, own[order[at]]
+    return at, own[order[at]], outlines(own, order, at)
 
 
 def _near_ends(texts: DataFrame) -> DataFrame:
@@ -196,10 +220,12 @@ def _near_ends(texts: DataFrame) -> DataFrame:
 
     Every pair with SIMILARITY is there. It is met at the first gram that both share in the
     order of ``rare_end``; what follows on either side bounds what they can have in common,
-    and the shorter text needs a shorter prefix.
+    and the shorter text needs a shorter prefix. Of n and m grams that follow, of which the
+    outlines tell d apart at least, no more than (n + m - d) / 2 are common.
     """
     shared = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts))
     kind = dict(texts.dtypes)["node"]
+    bits = [f"bits{k}" for k in range(BITS // 64)]
 
     def ends(batches):
         counts = shared.value
@@ -207,28 +233,34 @@ def _near_ends(texts: DataFrame) -> DataFrame:
             for rows, part in blocks(batch, "text", BLOCK):
                 each = grams(part)
                 found = [rare_end(own, counts) for own in each]
-                size = np.array([len(at) for at, _ in found], np.int64)
+                size = np.array([len(at) for at, *_ in found], np.int64)
+                outline = np.concatenate(
+                    [np.zeros((0, len(bits)), np.int64), *(lines for *_, lines in found)])
                 of = pa.array(np.repeat(np.arange(len(found)), size))
                 empty = np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).take(of), rows.column(1).take(of),
                      pa.array(np.repeat([len(own) for own in each], size).astype(np.int64)),
-                     pa.array(np.concatenate([empty, *(at for at, _ in found)])),
-                     pa.array(np.concatenate([empty, *(g.view(np.int64) for _, g in found)]))],
-                    names=["node", "root", "n", "place", "gram"])
+                     pa.array(np.concatenate([empty, *(at for at, *_ in found)])),
+                     pa.array(np.concatenate([empty, *(g.view(np.int64) for _, g, _ in found)])),
+                     *(pa.array(np.ascontiguousarray(line)) for line in outline.T)],
+                    names=["node", "root", "n", "place", "gram", *bits])
 
     entries = materialise(texts.select("node", "root", "text").mapInArrow(
-        ends, f"node {kind}, root {kind}, n bigint, place bigint, gram bigint"))
+        ends, f"node {kind}, root {kind}, n bigint, place bigint, gram bigint, "
+        + ", ".join(f"{b} bigint" for b in bits)))
     several = entries.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias(
         "_high")).where("_low != _high").select("gram")
     total = entries.count()
     entries = materialise(narrow_join(entries, several, "gram", total))
     share = SIMILARITY / (1 + SIMILARITY)
+    apart = " + ".join(f"bit_count(s.{b} ^ l.{b})" for b in bits)
     short = entries.where(F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6)
     return short.alias("s").join(entries.alias("l"), F.expr(f"""
         s.gram = l.gram AND s.root != l.root AND (s.n < l.n OR s.n = l.n AND s.node < l.node)
         AND s.n >= {SIMILARITY}D * l.n - 1e-6D
-        AND least(s.n - s.place, l.n - l.place) >= {share}D * (s.n + l.n) - 1e-6D""")).select(
+        AND least(s.n - s.place, l.n - l.place) >= {share}D * (s.n + l.n) - 1e-6D
+        AND s.n - s.place + l.n - l.place - ({apart}) >= {2 * share}D * (s.n + l.n) - 1e-6D""")).select(
         F.col("s.node").alias("a"), F.col("l.node").alias("b"),
         F.col("s.root").alias("ra"), F.col("l.root").alias("rb")).distinct()
 

@@ -82,3 +82,23 @@ def test_pairs_of_a_round_follow_the_nodes(spark, monkeypatch):
             want = [low if c == high else c for c in want]
     assert found == dict(enumerate(want)) and len(set(want)) < 310
     assert max(compared) <= neardup.PIVOTS * len(texts)
+
+
+def test_rare_ends_leave_out_what_outlines_tell_apart(spark):
+    """Copies of one text with two words of their own: 0.71 alike, so few of them may meet."""
+    rng = random.Random(5)
+    base, texts = [f"b{k}" for k in range(120)], []
+    for k in range(300):
+        new = list(base)
+        for at in rng.sample(range(5, 115), 2):
+            new[at] = f"o{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(new))
+    own = neardup.grams(pa.array(texts, pa.large_string()))
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2)
+            if neardup.alignment(own[a], own[b])}
+    rows = spark.createDataFrame(
+        [(f"{k:04}", f"{k:04}", t) for k, t in enumerate(texts)],
+        "node string, root string, text string")
+    pairs = {tuple(sorted((int(r["a"]), int(r["b"])))) for r in neardup._near_ends(rows).collect()}
+    assert want <= pairs and want
+    assert len(pairs) < 2 * len(want)
