@@ -198,3 +198,21 @@ def test_sets_of_one_kind_of_play_make_only_what_they_need(spark, monkeypatch, n
     for name in names:
         a, b = own[name].rows, shared[name].rows
         assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_rows_of_a_forest_are_dealt_over_the_cores(spark, monkeypatch):
+    """Thousands of rows that lie in one partition or file."""
+    df = spark.range(0, 5000, 1, 1).selectExpr("id AS i", "CAST(id % 2 AS int) AS hit", "id % 7 AS a", "id % 3 AS b")
+    seen, real = [], models.forest_models
+
+    def forest(rows, trees, depth, seed):
+        sizes = [len(p) for p in rows.select("_label").rdd.glom().collect()]
+        seen.append((sum(sizes), max(sizes)))
+        return real(rows, trees, depth, seed)
+
+    monkeypatch.setattr(models, "forest_models", forest)
+    models.fit_forest(df, FEATURES, "hit", 3, 3)
+    fits = {"forest": models.algorithms(trees=3, depth=3)["forest"]}
+    models.compare_models(df, FEATURES, "hit", F.col("i"), ["i"], folds=2, fits=fits)
+    assert [n for n, _ in seen] == [5000, 2500, 2500]
+    assert all(most <= 0.6 * n for n, most in seen)
