@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 512     # rows of one key meant to meet in one task
+TASK_ROWS = 5000     # rows with their texts in a task of a join with a stated number of tasks
 HOT_KEYS = 2000      # a key is hot from this fraction of the rows on, so there are no more
 
 
@@ -17,7 +18,9 @@ def hot_join(big: DataFrame, small: DataFrame, on: str,
     shares of ``GROUP_ROWS`` rows by a hash of the row; only that list, at most ``HOT_KEYS``
     keys, is broadcast. All rows are kept; a null key matches nothing. ``counted`` is a stored
     table with the rows of ``big`` or more, to count the keys in. ``how`` is a join hint for
-    the side of ``small``, such as "shuffle_hash"; without one Spark decides by size.
+    the side of ``small``, such as "shuffle_hash"; without one Spark decides by size. With one both
+    sides are dealt over a number of tasks stated by the rows, or adaptive execution would put the shares of
+    a hot key together again where they have few bytes.
     """
     big = big.where(F.col(on).isNotNull())
     counted = big if counted is None else counted
@@ -33,9 +36,12 @@ def hot_join(big: DataFrame, small: DataFrame, on: str,
     copies = small.join(hot, F.col(on) == F.col("_key"), "left").withColumn(
         "_share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1))
     ).withColumn("_share", F.col("_share").cast("long"))
-    copies = copies.drop("_key", "_shares")
-    return dealt.drop("_key", "_shares").join(
-        copies.hint(how) if how else copies, [on, "_share"]).drop("_share")
+    dealt, copies = dealt.drop("_key", "_shares"), copies.drop("_key", "_shares")
+    if how:
+        tasks = max(int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+        dealt, copies = (side.repartition(tasks, on, "_share") for side in (dealt, copies))
+        copies = copies.hint(how)
+    return dealt.join(copies, [on, "_share"]).drop("_share")
 
 
 def parts(rows: int) -> int:
